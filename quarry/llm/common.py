@@ -79,17 +79,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _POWERS: dict[int, np.ndarray] = {}
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
-def powers(n: int) -> np.ndarray:
-    """MULTIPLIER to the powers 0 to n - 1, modulo 2^64; kept by size class."""
-    size = 1 << max(10, int(n - 1).bit_length())
-    if size not in _POWERS:
-        p = np.full(size, MULTIPLIER, np.uint64)
+def powers(n: int, base: int = MULTIPLIER) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2^64; the largest so far is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        p = np.full(1 << max(10, int(n - 1).bit_length()), base, np.uint64)
         p[0] = 1
-        _POWERS.clear()
-        _POWERS[size] = np.multiply.accumulate(p)
-    return _POWERS[size][:n]
+        known = _POWERS[base] = np.multiply.accumulate(p)
+    return known[:n]
 
 
 class Words:
@@ -120,14 +120,14 @@ class Words:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: differences of prefix sums of byte times power, brought to one place."""
+    """A 64-bit hash of each byte range, the same wherever it lies: differences of prefix sums of byte times power, brought to one place."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(data)
     up = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * up[n - starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * powers(n + 1, INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import packing
+from pyspark.sql import functions as F
+
+from quarry.llm import decontamination, language, packing, topk, urls
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -17,3 +19,53 @@ def query(f):
 @query
 def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_exact_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op8_exact_topk"] = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product([CAST(x AS DOUBLE) for x in q.e], [CAST(x AS DOUBLE) for x in c.e]) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op9_url_filters(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+     bi AS (SELECT item_id, w, least(len(w), 13) AS sz, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+     bw AS (SELECT DISTINCT item_id, sz, array_to_string(w[i:i + sz - 1], ' ') AS g FROM bi),
+     sizes AS (SELECT DISTINCT sz FROM bw),
+     di AS (SELECT doc_id, w, sz, unnest(range(1, len(w) - sz + 2)) AS i FROM d, sizes WHERE len(w) >= sz),
+     dw AS (SELECT doc_id, sz, i, array_to_string(w[i:i + sz - 1], ' ') AS g FROM di),
+     o AS (SELECT doc_id, i, dw.sz, item_id FROM dw JOIN bw USING (sz, g)),
+     h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + sz)) AS j FROM o) GROUP BY 1),
+     k AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM o) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return language.digest(table(spark, sf_dir, "documents"))
