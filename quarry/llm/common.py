@@ -147,9 +147,9 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         extra = np.zeros(len(short), np.uint64)
         for j, t in enumerate(short.tolist()):
-            v = np.uint64(counts[t])
-            for x in h[words.first[t] : words.last[t]]:
-                v = v * np.uint64(MULTIPLIER) + x
+            v = int(counts[t])
+            for x in h[words.first[t] : words.last[t]].tolist():
+                v = (v * MULTIPLIER + x) & 0xFFFFFFFFFFFFFFFF
             extra[j] = v
         value, owner = np.concatenate([value, mix(extra)]), np.concatenate([owner, short])
         order = np.argsort(owner, kind="stable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, language, packing, topk, urls
+from quarry.llm import decontamination, language, nearjoin, packing, suffixes, topk, urls
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -69,3 +69,13 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 @query
 def op7_language_id(spark, sf_dir):
     return language.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return nearjoin.digest(table(spark, sf_dir, "documents"))
