@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, language, nearjoin, packing, suffixes, topk, urls
+from quarry.llm import decontamination, language, nearjoin, packing, quality, sentences, suffixes, topk, urls
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -79,3 +79,13 @@ def op10_suffix_dedup(spark, sf_dir):
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return nearjoin.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return sentences.digest(table(spark, sf_dir, "documents"))
