@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, language, nearjoin, packing, quality, sentences, suffixes, topk, urls
+from quarry.llm import decontamination, html, language, nearjoin, packing, quality, sentences, suffixes, topk, urls
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -89,3 +89,8 @@ def op3_quality_classifier(spark, sf_dir):
 @query
 def op6_substring_dedup(spark, sf_dir):
     return sentences.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
