@@ -15,9 +15,12 @@ step keeps all that later steps could need:
    window is put in order by what comes before its first cover position, the
    rank there, and its last bytes. Long ties cost no comparison of bytes, and
    memory is that of a block, whatever the input.
-4. A bucket with more than `most` places is split by text. What is alike within a
-   part is found there; of the rest, and of one of each kind, fingerprints meet
-   in one more count, so that a hot bucket never comes into one task.
+4. A bucket with more than `most` places is cut by window starts into pieces. All
+   windows of a piece share a core of bytes, so places with different cores part,
+   and places whose whole piece is alike are found by counting; only one of each
+   kind goes on. What is left is sorted, or, where a core still has more than
+   `most` kinds, cut into smaller pieces, down to single windows. No hot bucket
+   comes into one task, and no start is given up.
 
 Defined cases: null texts are empty; texts shorter than `length` lose nothing;
 repeated rows are copies of each other; an empty table gives no rows; `digest`
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,6 @@ PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 NEXT = np.array([min(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
 BLOCK = 3 << 20
 
-RECORD = pa.struct([("h", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 SPAN = pa.struct([("s", pa.int32()), ("e", pa.int32())])
 
 
@@ -130,7 +133,7 @@ def _lists(text: np.ndarray, n: int, fields: list[np.ndarray], kind: pa.StructTy
 
 
 def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """digest, doc_id, n_bytes, anchors and spans of starts that repeat within the text, of every row."""
+    """digest, doc_id, hashes of anchors, and spans of starts that repeat within the text, of every row."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, "text"):
@@ -139,12 +142,12 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
             n = b.num_rows
             order = np.argsort(r["again_text"] * (1 << 32) + r["again"], kind="stable")
             s, e = joined((r["again_text"] * (1 << 32) + r["again"])[order])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("digest"), b.column("doc_id"), pa.array(np.diff(offsets)), _lists(r["text"], n, [r["h"], r["a"], r["lo"], r["hi"]], RECORD), _lists(s >> 32, n, [s & 0xFFFFFFFF, e & 0xFFFFFFFF], SPAN)],
-                names=["digest", "doc_id", "n_bytes", "records", "again"],
-            )
+            at = np.searchsorted(r["text"], np.arange(n + 1)).astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(at), pa.array(r["h"]))
+            again = _lists(s >> 32, n, [s & 0xFFFFFFFF, e & 0xFFFFFFFF], SPAN)
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("doc_id"), hashes, again], names=["digest", "doc_id", "hashes", "again"])
 
-    return docs.select("digest", "doc_id", "text").mapInArrow(look, "digest binary, doc_id long, n_bytes long, records array<struct<h:bigint,a:int,lo:int,hi:int>>, again array<struct<s:int,e:int>>")
+    return docs.select("digest", "doc_id", "text").mapInArrow(look, "digest binary, doc_id long, hashes array<bigint>, again array<struct<s:int,e:int>>")
 
 
 def words(data: np.ndarray) -> np.ndarray:
@@ -216,123 +219,156 @@ def window_classes(data: np.ndarray, first: np.ndarray, size: np.ndarray, anchor
     return kind, np.bincount(kind)
 
 
-def resolve(rows: dict[str, list], length: int, most: int) -> dict[str, list]:
-    """What repeats among the contexts of whole buckets: digest with runs of starts (s, e), or with a fingerprint where a split bucket leaves a start open."""
-    out: dict[str, list] = {"digest": [], "s": [], "e": [], "fp": []}
-    buckets: dict[tuple[int, int], dict[tuple[int, bytes], set]] = {}
-    split: dict[tuple[int, int], bool] = {}
-    for h, salt, n, digest, a, lo, context in zip(*(rows[c] for c in ("h", "salt", "n", "digest", "a", "lo", "context")), strict=True):
-        buckets.setdefault((h, salt), {}).setdefault((a - lo, context), set()).add((digest, lo))
-        split[h, salt] = n > most
-    open_: list[tuple[tuple[int, int], list]] = []
-    for b, contexts in buckets.items():
-        if len(contexts) > 1 or split[b]:
-            open_.append((b, list(contexts.items())))
-        else:
-            ((_, context), sources) = next(iter(contexts.items()))
-            if len(sources) > 1:
-                for digest, lo in sources:
-                    out["digest"].append(digest)
-                    out["s"].append(lo)
-                    out["e"].append(lo + len(context) - length)
-                    out["fp"].append(None)
+def resolve(rows: dict[str, list], length: int) -> dict[str, list]:
+    """What repeats among the contexts of whole buckets: digest with runs of window starts s to e."""
+    out: dict[str, list] = {c: [] for c in ("digest", "s", "e")}
+    buckets: dict[int, dict[tuple[int, bytes], set]] = {}
+    for h, digest, a, lo, context in zip(*(rows[c] for c in ("h", "digest", "a", "lo", "context")), strict=True):
+        buckets.setdefault(h, {}).setdefault((a - lo, context), set()).add((digest, lo))
+    open_: list[list] = []
+    for contexts in buckets.values():
+        if len(contexts) > 1:
+            open_.append(list(contexts.items()))
+            continue
+        ((_, context), sources) = next(iter(contexts.items()))
+        if len(sources) > 1:
+            for digest, lo in sources:
+                out["digest"].append(digest)
+                out["s"].append(lo)
+                out["e"].append(lo + len(context) - length)
     if not open_:
         return out
-    flat = [(i, b, shift, context, sources) for i, (b, contexts) in enumerate(open_) for (shift, context), sources in contexts]
-    data = np.frombuffer(b"".join(c for _, _, _, c, _ in flat), np.uint8)
-    size = np.array([len(c) for _, _, _, c, _ in flat])
+    flat = [(i, shift, context, sources) for i, contexts in enumerate(open_) for (shift, context), sources in contexts]
+    data = np.frombuffer(b"".join(c for _, _, c, _ in flat), np.uint8)
+    size = np.array([len(c) for _, _, c, _ in flat])
     first = np.cumsum(size) - size
-    anchor = first + np.array([s for _, _, s, _, _ in flat])
+    anchor = first + np.array([s for _, s, _, _ in flat])
     kind, sizes = window_classes(data, first, size, anchor, np.array([i for i, *_ in flat]), length)
-    sources = np.array([len(s) for *_, s in flat])
     count = size - length + 1
     owner, at = np.repeat(np.arange(len(flat)), count), np.cumsum(count) - count
-    repeats = (sizes[kind] > 1) | (sources[owner] > 1)
-    parted = np.array([split[b] for _, b, *_ in flat])
-    if parted.any():
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[: len(data)], out=total[1:])
-        x = ranges(first, count)
-        prints = mix((total[x + length] - total[x]) * powers(len(data) + 1, INVERSE)[x]).astype(np.int64)
-        told = np.zeros(len(sizes), bool)
-    for c, (_, b, _, _, from_) in enumerate(flat):
-        i, j = at[c], at[c] + count[c]
-        s, e = joined(np.flatnonzero(repeats[i:j]))
+    repeats = (sizes[kind] > 1) | (np.array([len(s) for *_, s in flat])[owner] > 1)
+    for c, (*_, from_) in enumerate(flat):
+        s, e = joined(np.flatnonzero(repeats[at[c] : at[c] + count[c]]))
         for digest, lo in from_:
             out["digest"] += [digest] * len(s)
             out["s"] += (s + lo).tolist()
             out["e"] += (e + lo).tolist()
-            out["fp"] += [None] * len(s)
-        if split[b]:
-            # Starts that stay open, and one start of each kind found here, for which e is -1.
-            (digest, lo), *_ = from_
-            for k in range(i, j):
-                if not told[kind[k]]:
-                    told[kind[k]] = True
-                    out["digest"].append(digest)
-                    out["s"].append(int(k - i + lo))
-                    out["e"].append(-1 if repeats[k] else int(k - i + lo))
-                    out["fp"].append(int(prints[k]))
     return out
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """The rows with a digest of their text (`digest`), and for each digest what to remove: n (rows of that text), again and found (runs of window starts)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    scanned = scan(docs, length, gram)
-    texts = cut(scanned.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("records").alias("records"), F.first("again").alias("again")))
-    records = texts.select("digest", F.coalesce("doc_id", F.lit(-1)).alias("speaker"), F.explode("records").alias("r")).select("digest", "speaker", "r.*")
-    twice = records.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = records.join(twice, "h").groupBy("digest", "speaker").agg(F.collect_list(F.struct("h", "a", "lo", "hi", "n")).alias("records"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("h", "salt", "n", "digest", "a", "lo", "context")}
-            for digest, text, found in zip(b.column("digest").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("records").to_pylist(), strict=True):
-                seed = int.from_bytes(digest[:4], "big")
-                for r in found:
-                    for c, v in zip(out, (r["h"], seed % -(-r["n"] // most), r["n"], digest, r["a"], r["lo"], text[r["lo"] : r["hi"] + length]), strict=True):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=CONTEXT)
+def sort_blocks(rows: DataFrame, length: int) -> DataFrame:
+    """The repeated starts of buckets (digest, s, e), sorted a block of buckets at a time; rows of hot buckets (salt not null) pass as they are."""
 
-    def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list] = {c: [] for c in CONTEXT.names}
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list] = {c: [] for c in ("h", "digest", "a", "lo", "context")}
         held, last = 0, None
+        passed: dict[str, list] = {c: [] for c in FOUND.names}
 
         def flush() -> pa.RecordBatch:
-            found = resolve(waiting, length, most)
-            for v in waiting.values():
+            found = resolve(waiting, length)
+            nothing = [None] * len(found["digest"])
+            out = {c: [*found.get(c, nothing), *passed[c]] for c in FOUND.names}
+            for v in (*waiting.values(), *passed.values()):
                 v.clear()
-            return pa.RecordBatch.from_pydict(found, schema=FOUND)
+            return pa.RecordBatch.from_pydict(out, schema=FOUND)
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in CONTEXT.names]
-            for row in zip(*columns, strict=True):
-                if held >= BLOCK and (row[0], row[1]) != last:
+            for row in zip(*[b.column(c).to_pylist() for c in CONTEXT.names], strict=True):
+                h, salt, digest, a, lo, context = row
+                if held >= BLOCK and h != last:
                     yield flush()
                     held = 0
-                last = (row[0], row[1])
-                for c, v in zip(CONTEXT.names, row, strict=True):
-                    waiting[c].append(v)
-                held += len(row[6])
+                last, held = h, held + len(context)
+                if salt is None:
+                    for v, x in zip(waiting.values(), (h, digest, a, lo, context), strict=True):
+                        v.append(x)
+                else:
+                    for v, x in zip(passed.values(), (digest, None, None, h, a, lo, context), strict=True):
+                        v.append(x)
         if held:
             yield flush()
 
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = rows.select(*CONTEXT.names).repartition(parts, "h", "salt").sortWithinPartitions("h", "salt")
+    return dealt.mapInArrow(sort, "digest binary, s int, e int, h long, a int, lo int, context binary")
+
+
+def cut_hot(hot: DataFrame, length: int, gram: int, most: int) -> list[DataFrame]:
+    """The repeated starts of hot buckets (h, digest, a, lo, context), by cutting them into smaller and smaller pieces."""
+    found: list[DataFrame] = []
+    step = max(1, (length - gram + 1) // 4)
+    hot = cut(hot.dropDuplicates(["h", "digest", "a", "lo"]))
+    while not hot.isEmpty():
+
+        def pieces(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: dict[str, list] = {c: [] for c in PIECE.names}
+                for h, digest, a, lo, context in zip(*[b.column(c).to_pylist() for c in ("h", "digest", "a", "lo", "context")], strict=True):
+                    hi = lo + len(context) - length
+                    for p in range((a - hi) // step, (a - lo) // step + 1):  # starts lie p * step to p * step + step - 1 before the anchor
+                        x1, x2 = max(lo, a - p * step - step + 1), min(hi, a - p * step)
+                        core = context[a - p * step - lo : a - p * step - step + 1 + length - lo]
+                        own = context[x1 - lo : x2 + length - lo]
+                        kind = hashlib.blake2b(own, digest_size=16, key=(a - x1).to_bytes(4, "big")).digest()
+                        for c, v in zip(PIECE.names, (h, p, hashlib.blake2b(core, digest_size=16).digest(), kind, digest, a, x1, x2, own), strict=True):
+                            out[c].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=PIECE)
+
+        rows = cut(hot.mapInArrow(pieces, "h long, p int, core binary, kind binary, digest binary, a int, lo int, hi int, context binary"))
+        key = ["h", "p", "core"]
+        kinds = cut(rows.groupBy(*key, "kind").agg(F.count("*").alias("n"), F.min("digest").alias("one")))
+        several = kinds.groupBy(*key).agg(F.count("*").alias("kinds")).where("kinds > 1")
+        found.append(rows.join(kinds.where("n > 1"), [*key, "kind"]).select("digest", F.col("lo").alias("s"), F.col("hi").alias("e")))
+        left = rows.join(kinds, [*key, "kind"]).where(F.col("digest") == F.col("one")).join(several, key)
+        left = cut(left.select(F.xxhash64(*key, F.lit(step)).alias("h"), "kinds", "digest", "a", "lo", "context"))
+        found.append(sort_blocks(left.where(F.col("kinds") <= most).withColumn("salt", F.lit(None).cast("int")), length).select("digest", "s", "e"))
+        if step == 1:  # single windows of one core are of one kind
+            break
+        hot, step = left.where(F.col("kinds") > most).drop("kinds"), step // 2
+    return found
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """The rows with a digest of their text (`digest`), and for each digest what to remove: n (rows of that text), again and found (runs of window starts)."""
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    scanned = scan(docs, length, gram)
+    texts = cut(scanned.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes"), F.first("again").alias("again")))
+    each = texts.select("digest", F.explode("hashes").alias("h"))
+    twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # A text asks for its anchors by their hashes; where they lie is found again in the text, which is cheaper than to send it.
+    wanted = each.join(twice, "h").groupBy("digest").agg(F.collect_set(F.struct("h", "n")).alias("wanted"))
+    wanted = wanted.join(texts.select("digest", F.coalesce("doc_id", F.lit(-1)).alias("speaker")), "digest")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches, "text"):
+            data, offsets = buffer(b.column("text"))
+            r = anchors(data, offsets, length, gram)
+            begin = np.searchsorted(r["text"], np.arange(b.num_rows + 1))
+            raw, out = data.tobytes(), {c: [] for c in CONTEXT.names}
+            for t, (digest, wanted_) in enumerate(zip(b.column("digest").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
+                seed, base, times = int.from_bytes(digest[:3], "big"), int(offsets[t]), {w["h"]: w["n"] for w in wanted_}
+                mine = slice(begin[t], begin[t + 1])
+                for h, a, lo, hi in zip(*(r[c][mine].tolist() for c in ("h", "a", "lo", "hi")), strict=True):
+                    n = times.get(h)
+                    if n:
+                        for c, v in zip(CONTEXT.names, (h, seed if n > most else None, digest, a, lo, raw[base + lo : base + hi + length]), strict=True):
+                            out[c].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=CONTEXT)
+
     # Of equal texts the one of the least doc_id speaks; rows that repeat it whole give equal contexts, which a bucket counts once.
-    one_each = docs.withColumn("speaker", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["digest", "speaker"]).select("digest", "text", "records")
-    rows = one_each.mapInArrow(contexts, "h long, salt int, n long, digest binary, a int, lo int, context binary")
-    found = cut(rows.repartition(shuffle_partitions(spark), "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sort_blocks, "digest binary, s int, e int, fp long"))
-    prints = found.where("fp IS NOT NULL")
-    met = prints.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1")
-    late = prints.where("e >= 0").join(met, "fp").select("digest", "s", "e")
-    by_text = found.where("fp IS NULL").select("digest", "s", "e").unionByName(late).groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    one_each = docs.withColumn("speaker", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["digest", "speaker"]).select("digest", "text", "wanted")
+    rows = one_each.mapInArrow(contexts, "h long, salt int, digest binary, a int, lo int, context binary")
+    found = cut(sort_blocks(rows, length))
+    parts = [found.where("context IS NULL").select("digest", "s", "e"), *cut_hot(found.where("context IS NOT NULL").select("h", "digest", "a", "lo", "context"), length, gram, most)]
+    by_text = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     return docs, texts.select("digest", F.col("n").alias("rows"), "again").join(by_text, "digest", "left")
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("n", pa.int64()), ("digest", pa.binary()), ("a", pa.int32()), ("lo", pa.int32()), ("context", pa.binary())])
-FOUND = pa.schema([("digest", pa.binary()), ("s", pa.int32()), ("e", pa.int32()), ("fp", pa.int64())])
+CONTEXT = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("digest", pa.binary()), ("a", pa.int32()), ("lo", pa.int32()), ("context", pa.binary())])
+FOUND = pa.schema([("digest", pa.binary()), ("s", pa.int32()), ("e", pa.int32()), ("h", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("context", pa.binary())])
+PIECE = pa.schema([("h", pa.int64()), ("p", pa.int32()), ("core", pa.binary()), ("kind", pa.binary()), ("digest", pa.binary()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("context", pa.binary())])
 
 
 def removed(n_bytes: int, rows: int, again: list | None, found: list | None, length: int) -> list[tuple[int, int]]:
