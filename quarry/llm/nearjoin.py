@@ -45,7 +45,7 @@ SIMILARITY = 0.8
 RECALL = 0.99999
 FIRST = 6  # tokens of a sample that open buckets, and that follow a token on a path
 SMALL = 64
-TILE = 256
+TILE = 1024
 SKETCH = 32  # tokens that a sample has on average
 SKETCH_CUT = 0.5  # of the larger sample that a pair must share to be compared exactly
 SEED = np.uint64(0x5851F42D4C957F2D)
