@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MOST_ITEMS = 50
 SECRET_NAMES = ("password", "token", "secret", "authorization")
@@ -18,13 +19,13 @@ def _tree(text: str | None):
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(s: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; null for what isn't JSON."""
     return s.map(lambda v: None if (t := _tree(v)) is None else json.dumps(t, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flattened(s: pd.Series) -> pd.Series:
     """`path: value` for every leaf, in order of paths, one to a line."""
 
@@ -49,7 +50,7 @@ def protected():
             return {k: "[hidden]" if any(n in k.lower() for n in SECRET_NAMES) else hide(v) for k, v in t.items()}
         return [hide(x) for x in t[:MOST_ITEMS]] if isinstance(t, list) else t
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if (t := _tree(v)) is None else json.dumps(hide(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
@@ -66,7 +67,7 @@ def patched(path: tuple[str, ...], value, allowed: frozenset[str]):
         t[rest[0]] = value if len(rest) == 1 else put(t.get(rest[0]), rest[1:])
         return t
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if (t := _tree(v)) is None else json.dumps(put(t, path), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 

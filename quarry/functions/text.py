@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from quarry.functions import constants as k
 
@@ -132,13 +133,13 @@ def clean_number(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def quantity(s: pd.Series) -> pd.Series:
     """A count in digits or in Chinese numerals up to the thousands."""
     digits = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"两": 2}
@@ -163,7 +164,7 @@ def quantity(s: pd.Series) -> pd.Series:
     return s.map(read).astype("Int32")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_literals(s: pd.Series) -> pd.Series:
     """SQL text with comments and literals blanked, of the same length."""
     pattern = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S)

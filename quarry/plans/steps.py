@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +59,15 @@ def checked(df: DataFrame, keys: list[str], what: str) -> DataFrame:
 
     Repeats are counted by an aggregate of the keys alone and joined back as a flag, so that a hot key needs no window.
     """
-    trimmed = {k: F.trim(k) for k in keys if dict(df.dtypes)[k] == "string"}
-    df = df.withColumns(trimmed) if trimmed else df
-    blank = reduce(lambda a, b: a | b, [F.col(k).isNull() | (F.col(k).cast("string") == "") for k in keys])
+    kinds = dict(df.dtypes)
+    # The check is part of the key itself: a filter for keys that aren't null, which the optimiser pushes below it, must not drop what it looks for.
+    whole = {k: F.trim(k) if kinds[k] == "string" else F.col(k) for k in keys}
+    blank = {k: (c.isNull() | (c == "")) if kinds[k] == "string" else c.isNull() for k, c in whole.items()}
+    df = df.withColumns({k: F.when(blank[k], F.raise_error(F.lit(f"{what}: a join key is null or blank")).cast(kinds[k])).otherwise(c) for k, c in whole.items()})
     rest = [c for c in df.columns if c not in keys]
     grouped = df.groupBy(*keys).agg(F.count("*").alias("times"), F.any_value(F.struct(*rest) if rest else F.lit(1)).alias("row"))
-    bad = F.when(blank, F.raise_error(F.lit(f"{what}: a join key is null or blank"))).when(F.col("times") > 1, F.raise_error(F.lit(f"{what}: a join key occurs twice")))
-    safe = grouped.where(bad.isNull())
-    return safe.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
+    twice = F.when(F.col("times") > 1, F.raise_error(F.lit(f"{what}: a join key occurs twice")))
+    return grouped.where(twice.isNull()).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def attach(anchor: DataFrame, step: DataFrame, keys: list[str], mode: str = "enrich") -> DataFrame:
