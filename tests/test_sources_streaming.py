@@ -64,3 +64,26 @@ def test_idempotent_and_followup_streams(spark, tmp_path):
 def test_sessions(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1), (2, "2024-01-01 00:10:00", 1), (3, "2024-01-01 02:00:00", 1)], "event_id int, ts string, user_id int").withColumn("ts", F.to_timestamp("ts"))
     assert [r.session for r in state.sessions(df, "user_id", 30).orderBy("event_id").collect()] == [1, 1, 2]
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from quarry.sources.workbooks import read_workbooks, row_blocks
+
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="m"><sheets><sheet name="One"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="m"><si><t>Name</t></si><si><r><t>Two </t></r><r><t>parts</t></r></si></sst>')
+        z.writestr(
+            "xl/worksheets/sheet1.xml",
+            '<worksheet xmlns="m"><sheetData><row r="1"><c r="B1" t="s"><v>1</v></c><c r="A1" t="s"><v>0</v></c></row><row r="2" hidden="1"><c r="AA2"><v>3.5</v></c><c r="AB2" t="inlineStr"><is><t> </t></is></c></row></sheetData>'
+            '<mergeCells><mergeCell ref="A1:A3"/></mergeCells></worksheet>',
+        )
+        z.writestr("xl/drawings/drawing1.xml", '<d xmlns="x"><txBody><t>Note</t></txBody></d>')
+    (tmp_path / "b.xlsx").write_bytes(b"no zip")
+    got = read_workbooks(spark, str(tmp_path)).cache()
+    assert [(r.kind, r.ref, r.col, r.value, r.merged, r.hidden) for r in got.where("error IS NULL").orderBy("kind", "row", "col").collect()] == [
+        ("cell", "A1", 1, "Name", "A1:A3", False), ("cell", "B1", 2, "Two parts", None, False), ("cell", "AA2", 27, "3.5", None, True), ("textbox", None, None, "Note", None, False),
+    ]
+    assert got.where("kind = 'error'").count() == 1
+    assert [r.line for r in row_blocks(got).orderBy("row").collect()] == ["A1: Name | B1: Two parts", "AA2: 3.5"]
