@@ -122,7 +122,7 @@ class Model:
                 for b in own[i + 1 :]:
                     rows = np.flatnonzero((names == a) | (names == b))
                     self.pair_row[a, b] = add(rows, np.where(names[rows] == a, 1, -1))
-        self.weights = np.array(weights, np.float32).reshape(len(weights), -1)
+        self.weights = np.array(weights, np.float32).reshape(len(weights), x.shape[1])
         self.biases = np.array(biases)
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
