@@ -1,8 +1,9 @@
 """URL filters: seed rules, and trust and distrust spread over the links between hosts.
 
-Trust starts at the hosts that an allow rule fits and follows links (a
-personalised PageRank); distrust starts at blocked hosts and goes against the
-links, since who links to a blocked host shares in it. A host is blocked if its
+Trust starts at hosts most of whose pages are allowed by rules and follows links
+(a personalised PageRank); distrust starts at hosts most of whose pages are
+blocked and goes against the links, since who links to a blocked host shares in
+it. Seeds weigh as many as they have such pages. A host is blocked if its
 distrust is over `threshold` and over its trust. Pages that a rule fits get the
 rule's verdict, the others that of their host.
 
@@ -75,7 +76,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85,
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
 
-    hosts = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     hosts = cut(hosts)
     edges = cut(links(pages))
     result = judged
@@ -87,8 +88,9 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85,
         by_target = back.groupBy("src").agg(F.sum("n").alias("all"))
         back = back.join(by_target, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
     for name, seeded in (("trust", "allowed"), ("distrust", "blocked")):
-        total = hosts.agg(F.sum(seeded)).first()[0] or 0
-        seeds = hosts.where(F.col(seeded) > 0).select("host", (F.col(seeded) / F.lit(float(max(total, 1)))).alias("seed"))
+        seeds = hosts.where(2 * F.col(seeded) > F.col("pages"))
+        total = seeds.agg(F.sum(seeded)).first()[0] or 0
+        seeds = seeds.select("host", (F.col(seeded) / F.lit(float(max(total, 1)))).alias("seed"))
         found = seeds.select("host", F.col("seed").alias("score")) if edges.isEmpty() else spread(cut(forward if name == "trust" else back), seeds, rounds, damping)
         scores = scores.join(found.select("host", F.col("score").alias(name)), "host", "left")
     scores = cut(scores.select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]))
