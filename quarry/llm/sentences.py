@@ -90,7 +90,7 @@ def scan(docs: DataFrame, least: int, alone: int) -> DataFrame:
 def covered(docs: DataFrame, least: int = LEAST, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, digest, text), and for those that lose sentences `gone`: runs (i, j) of them."""
     prepare(docs.sparkSession)
-    rows = plain(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rows = plain(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     found = cut(scan(rows.select("doc_id", "digest", "text"), least, alone))
     each = found.select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.*")
     twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
