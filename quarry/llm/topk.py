@@ -7,10 +7,12 @@ k-th best any more (what they have, plus the product of the norms of the
 remaining dimensions) are dropped and the rest compacted. Each pair of blocks
 gives k rows a query, merged by a window.
 
-Blocks of queries and of candidates meet by an equi-join on the query block's
-number and a salt, so that no table is broadcast and no task gets more than a
-few blocks. Sums are exact: 64-bit whole numbers, or doubles where they are
-exact.
+Queries are dealt to groups of about `group` of them, a few blocks each. Blocks
+of queries and of candidates meet by an equi-join on the group's number and a
+salt, so that no table is broadcast, candidates are sent once for a group and
+not for a block, and tasks grow in number, not in size, with both sides. Blocks
+are stored in the narrowest whole numbers that hold them. Sums are exact: 64-bit
+whole numbers, or doubles where they are exact.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; queries of another dimension than a candidate's are compared over
@@ -34,7 +36,10 @@ SCALE = 256
 DIMENSIONS = 16  # to a block
 CANDIDATES = 4096  # to a block
 QUERIES = 1024
+GROUP = 16384  # queries that a copy of the candidates is sent for
+SALTS = 64  # parts that a group's candidates are dealt to
 FOUND = "query_id long, vec_id long, score long"
+WIDTHS = ("<i2", "<i4", "<i8")
 
 
 def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -48,7 +53,8 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         nonlocal made
         made += 1
         ids = np.array([r[0] for r in rows], "<i8")
-        x = np.ascontiguousarray(np.array([r[1] for r in rows], "<i8").T)
+        x = np.array([r[1] for r in rows], "<i8").T
+        x = np.ascontiguousarray(x, next(k for k in WIDTHS if x.size == 0 or (np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)))
         return pa.RecordBatch.from_arrays(
             [pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
             names=["block", "dim", "ids", "vectors"],
@@ -102,26 +108,34 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_i, out_s))
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, query_block: int = QUERIES, candidate_block: int = CANDIDATES) -> DataFrame:
+def _read(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block and its vectors by dimension; the width follows from the sizes."""
+    n = len(ids) // 8
+    width = len(vectors) // max(1, n * dim)
+    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, f"<i{width or 8}").reshape(dim, n).astype(np.int64)
+
+
+def search(vectors: DataFrame, is_query, k: int = 5, query_block: int = QUERIES, candidate_block: int = CANDIDATES, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id and score of the k candidates of highest integer inner product for each row with `is_query`."""
     prepare(vectors.sparkSession)
     vectors = plain(vectors, "vec_id", "embedding")
     schema = "block long, dim int, ids binary, vectors binary"
     candidates = cut(vectors.mapInArrow(lambda b: _packed(b, candidate_block), schema))
-    asked = cut(vectors.where(is_query).coalesce(4).mapInArrow(lambda b: _packed(b, query_block), schema))
+    queries = vectors.where(is_query)
+    groups = max(1, -(-queries.count() // group))
+    # The checkpoint fixes which rows are in which group: the number of the partition that made a block, which leads the block's own.
+    asked = cut(queries.repartition(groups).mapInArrow(lambda b: _packed(b, query_block), schema))
     if candidates.select("dim").distinct().limit(2).count() > 1:
         raise ValueError("vectors of different dimensions")
-    numbered = asked.select("block").distinct().select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q"))  # a row for each block of queries
-    n = asked.select("block").distinct().count()
-    salts = 64
-    left = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("q"), F.pmod(F.hash("block"), F.lit(salts)).alias("salt"), "ids", "vectors")
-    right = asked.join(numbered, "block").select("q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    left = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("q"), F.pmod(F.hash("block"), F.lit(SALTS)).alias("salt"), "dim", "ids", "vectors")
+    q = F.shiftright("block", 32).cast("int").alias("q")
+    right = asked.select(q, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, x, query_ids, q = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in ("ids", "vectors", "query_ids", "queries"))
-                found = best(ids, x.reshape(-1, len(ids)), query_ids, q.reshape(-1, len(query_ids)), k)
+                dim, ids, x, query_ids, q = (batch.column(c)[r].as_py() for c in ("dim", "ids", "vectors", "query_ids", "queries"))
+                found = best(*_read(ids, x, dim), *_read(query_ids, q, dim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     found = left.join(right, ["q", "salt"]).mapInArrow(scan, FOUND)

@@ -308,7 +308,7 @@ def test_topk(spark, big):
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(found)}
     if big > 1:
         want = {w for w in want if abs(w[3]) < 2**63}
-    got = {tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5, query_block=3, candidate_block=16).collect()}
+    got = {tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5, query_block=3, candidate_block=16, group=4).collect()}
     assert got == want if big == 1 else {g[:3] for g in got if g[0] == 550} == {w[:3] for w in want if w[0] == 550}
 
 
