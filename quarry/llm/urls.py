@@ -4,8 +4,10 @@ Trust starts at hosts most of whose pages are allowed by rules and follows links
 (a personalised PageRank); distrust starts at hosts most of whose pages are
 blocked and goes against the links, since who links to a blocked host shares in
 it. Seeds weigh as many as they have such pages. A host is blocked if its
-distrust is over `threshold` and over its trust. Pages that a rule fits get the
-rule's verdict, the others that of their host.
+distrust is over its trust, and over `threshold` times an even share of all
+distrust (1 / the number of hosts), which means the same however many hosts
+there are. Pages that a rule fits get the rule's verdict, the others that of
+their host.
 
 The graph has one row for each pair of hosts, however many pages link them;
 links are summed before they are shuffled, a hub's scores are one row, and each
@@ -70,7 +72,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> D
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 1e-9) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 1e-3) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     pages = plain(pages, "page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
@@ -78,10 +80,11 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85,
 
     hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     hosts = cut(hosts)
+    even = 1.0 / max(hosts.count(), 1)
     edges = cut(links(pages))
-    result = judged
     scores = hosts.select("host")
-    if not edges.isEmpty():  # without links nothing spreads beyond the seeds
+    linked = not edges.isEmpty()
+    if linked:  # without links nothing spreads beyond the seeds
         by_source = edges.groupBy("src").agg(F.sum("n").alias("all"))
         forward = edges.join(by_source, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
@@ -91,11 +94,11 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85,
         seeds = hosts.where(2 * F.col(seeded) > F.col("pages"))
         total = seeds.agg(F.sum(seeded)).first()[0] or 0
         seeds = seeds.select("host", (F.col(seeded) / F.lit(float(max(total, 1)))).alias("seed"))
-        found = seeds.select("host", F.col("seed").alias("score")) if edges.isEmpty() else spread(cut(forward if name == "trust" else back), seeds, rounds, damping)
+        found = seeds.select("host", F.col("seed").alias("score")) if not linked else spread(cut(forward if name == "trust" else back), seeds, rounds, damping)
         scores = scores.join(found.select("host", F.col("score").alias(name)), "host", "left")
     scores = cut(scores.select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]))
     result = judged.join(scores, "host", "left")
-    blocked = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
+    blocked = (F.col("distrust") > threshold * even) & (F.col("distrust") > F.col("trust"))
     return result.select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
