@@ -7,8 +7,9 @@ sum of their margins breaks ties. All models are trained here by averaged
 stochastic sub-gradient steps on the hinge loss.
 
 They are fitted on at most `per_language` documents of each language, those of
-the smallest hash of doc_id, from the documents with a label; this bounds what
-reaches the driver, and it is the only place where a sample is taken. Every text
+the smallest hash of doc_id and text, from the documents with a label, and on at
+most `most` in all; this bounds what reaches the driver, and it is the only
+place where a sample is taken. Every text
 is read whole when it is judged, in batches whose runs are gathered by
 vectorised lookups.
 
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import buffer, plain, prepare, runs
+from quarry.llm.common import buffer, cut, plain, prepare, runs
 
 #: Families of common languages by their ISO 639-1 codes.
 FAMILIES = {
@@ -170,17 +171,18 @@ def margins(column: pa.Array, weights: np.ndarray, biases: np.ndarray) -> np.nda
     return out / np.where(norm > 0, norm, 1)[:, None] + biases
 
 
-def sample(docs: DataFrame, per_language: int, most_languages: int = 200) -> DataFrame:
-    """At most `per_language` labelled documents of each of the `most_languages` most common labels, by the hash of doc_id."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    kept = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.join(F.broadcast(kept), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language)
-    ids = chosen.select("doc_id").distinct()  # at most per_language * most_languages ids
-    return docs.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+def sample(docs: DataFrame, per_language: int, most: int) -> DataFrame:
+    """At most `per_language` labelled documents of each label, and `most` in all: those of the least hash. The ranks are pruned before the shuffle."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    rare = Window.partitionBy("lang").orderBy("hash")
+    places = labelled.select("lang", "hash").withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= per_language)
+    chosen = cut(places.orderBy("rank", "lang", "hash").limit(most).select("lang", "hash").distinct())
+    # Rows that repeat whole have one hash; one of them is enough to learn from.
+    found = labelled.join(F.broadcast(chosen), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
+    return found.select("lang", "text")
 
 
-def fit(docs: DataFrame, per_language: int = 600, most_bytes: int = 40 << 20) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 600, most: int = 20_000) -> Model | None:
     """A model from labelled documents (doc_id, text, lang), or None if there are none."""
     prepare(docs.sparkSession)
 
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, per_language: int = 600, most_bytes: int = 40 << 20) ->
             x = features(b.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    rows = sample(docs, per_language).mapInArrow(as_features, "lang string, x binary").toLocalIterator()
+    rows = sample(docs, per_language, most).mapInArrow(as_features, "lang string, x binary").toLocalIterator()
     names, x = [], []
     for lang, v in rows:
         names.append(lang)
