@@ -9,8 +9,10 @@ occurrence of a span, by doc_id and place, stays; sentences that any other
 occurrence covers go.
 
 Hashes are counted with partial sums, so a passage in a third of all documents
-is one row from each task; the rows of repeated spans meet their hash's first
-place by a join that Spark can split.
+is one row from each task. Rows meet the hashes that repeat, and their first
+places, by a join. Of hashes that are over 1 / `HOT` of all spans there are
+fewer than `HOT`, whatever the corpus, so those are broadcast, and their rows
+stay where they are.
 
 Defined cases: null and empty texts have no sentences; spans that never reach
 `least` words before the text ends are not looked at; rows repeated whole (same
@@ -33,6 +35,7 @@ from quarry.llm.decontamination import FOLD, INSIDE
 
 LEAST = 20
 ALONE = 40
+HOT = 2000  # hashes of more than this share of all spans are joined without a shuffle
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 _WHITE = np.zeros(256, bool)
@@ -93,11 +96,20 @@ def covered(docs: DataFrame, least: int = LEAST, alone: int = ALONE) -> tuple[Da
     rows = plain(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     found = cut(scan(rows.select("doc_id", "digest", "text"), least, alone))
     each = found.select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.*")
-    twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    repeated = cut(each.join(twice, "h"))
-    firsts = repeated.groupBy("h").agg(F.min(F.struct("doc_id", "digest", "i")).alias("first"))
-    later = repeated.join(firsts, "h").where(~F.struct("doc_id", "digest", "i").eqNullSafe(F.col("first")))
-    return rows, later.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("i", "j")).alias("gone"))
+    twice = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = found.agg(F.sum(F.size("spans"))).first()[0] or 0
+    hot = F.broadcast(twice.where(F.col("n") > total / HOT).select("h"))  # fewer than HOT rows
+    cold = twice.where(F.col("n") <= total / HOT).select("h")
+    repeated = cut(each.join(hot, "h").withColumn("hot", F.lit(True)).unionByName(each.join(hot, "h", "left_anti").join(cold, "h").withColumn("hot", F.lit(False))))
+    place = F.struct("doc_id", "digest", "i")
+    parts = []
+    for is_hot in (True, False):
+        rows_ = repeated.where(F.col("hot") == is_hot)
+        firsts = rows_.groupBy("h").agg(F.min(place).alias("first"))
+        later = rows_.join(F.broadcast(cut(firsts)) if is_hot else firsts, "h")
+        parts.append(later.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "digest", "i", "j"))
+    later = parts[0].unionByName(parts[1])
+    return rows, later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("i", "j")).alias("gone"))
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_words_removed", pa.int64()), ("text", pa.string()), ("kept_sha256", pa.string())])

@@ -270,7 +270,10 @@ def test_sentence_spans(spark, none):
     assert sentences.dedup(none).count() == 0
 
 
-def test_sentence_spans_against_brute_force(docs, texts):
+@pytest.mark.parametrize("hot", [1, 300, 10**6])  # no hash, some, and all that repeat
+def test_sentence_spans_against_brute_force(docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(sentences, "HOT", hot)
+
     def cut(text):
         return [w for w in (words(s) for s in re.split(r"(?<=[.!?])(?=\s|$)|\n", text or "")) if w]
 
