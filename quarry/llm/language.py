@@ -172,10 +172,16 @@ def margins(column: pa.Array, weights: np.ndarray, biases: np.ndarray) -> np.nda
 
 
 def sample(docs: DataFrame, per_language: int, most: int) -> DataFrame:
-    """At most `per_language` labelled documents of each label, and `most` in all: those of the least hash. The ranks are pruned before the shuffle."""
+    """At most `per_language` labelled documents of each label, and `most` in all: those of the least hash.
+
+    A label's counts say below which hash about half as many again as wanted lie, so that the ranks are over few rows, however many tasks there are.
+    """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
-    rare = Window.partitionBy("lang").orderBy("hash")
-    places = labelled.select("lang", "hash").withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= per_language)
+    common = cut(docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most))
+    low = F.col("hash") / F.lit(float(2**63)) <= 3.0 * per_language / F.col("n") - 1  # hashes are even over -1 to 1
+    few = labelled.select("lang", "hash").join(F.broadcast(common), "lang").where(low)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    places = few.select("lang", "hash").withColumn("rank", rank).where(F.col("rank") <= per_language)
     chosen = cut(places.orderBy("rank", "lang", "hash").limit(most).select("lang", "hash").distinct())
     # Rows that repeat whole have one hash; one of them is enough to learn from.
     found = labelled.join(F.broadcast(chosen), ["lang", "hash"]).dropDuplicates(["lang", "hash"])
