@@ -52,7 +52,7 @@ def unit_alias(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.unit_text(raw).alias("unit"))
 
 
-@R.query("qualifier_strip", "SELECT p_partkey, p_brand AS bare, CASE WHEN p_partkey % 2 = 0 THEN 'left' END AS qualifier, CASE WHEN p_partkey % 2 = 0 THEN 0.82 END AS confidence FROM (SELECT p_partkey, lower(p_brand) AS p_brand FROM part)")
+@R.query("qualifier_strip", "SELECT p_partkey, p_brand AS bare, CASE WHEN p_partkey % 2 = 0 THEN 'left' END AS qualifier, CASE WHEN p_partkey % 2 = 0 THEN 0.82e0 END AS confidence FROM (SELECT p_partkey, lower(p_brand) AS p_brand FROM part)")
 def qualifier_strip(spark, sf_dir):
     raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Left "), "p_brand")).otherwise(F.col("p_brand"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.qualifier(raw).alias("q")).select("p_partkey", "q.bare", "q.qualifier", F.col("q.confidence").cast("double").alias("confidence"))
@@ -301,14 +301,14 @@ def template_score(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(sc.rounded(sc.clamped(0.3 + 0.5 * rate + sc.weight(F.count("*") >= 10, 0.2)), 4).alias("score"))
 
 
-@R.query("config_score", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#12' THEN 0.45 ELSE 0.0 END + CASE WHEN contains(p_type, 'STEEL') THEN 0.25 ELSE 0.0 END + least(0.15, p_size * 0.003) + CASE WHEN p_size > 20 THEN 0.08 ELSE 0.0 END AS score FROM part")
+@R.query("config_score", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#12' THEN 0.45e0 ELSE 0.0e0 END + CASE WHEN contains(p_type, 'STEEL') THEN 0.25e0 ELSE 0.0e0 END + least(0.15e0, p_size * 0.003e0) + CASE WHEN p_size > 20 THEN 0.08e0 ELSE 0.0e0 END AS score FROM part")
 def config_score(spark, sf_dir):
     w = sc.weight
     score = sc.total(w(F.col("p_brand") == "Brand#12", 0.45), w(F.col("p_type").contains("STEEL"), 0.25), F.least(F.lit(0.15), F.col("p_size") * 0.003), w(F.col("p_size") > 20, 0.08))
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
-@R.query("clue_confidence", "SELECT c_custkey, least(0.95, CASE WHEN c_acctbal > 0 THEN 0.45 ELSE 0.0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.25 ELSE 0.0 END + CASE WHEN c_nationkey < 10 THEN 0.15 ELSE 0.0 END + 0.15) AS confidence FROM customer")
+@R.query("clue_confidence", "SELECT c_custkey, least(0.95e0, CASE WHEN c_acctbal > 0 THEN 0.45e0 ELSE 0.0e0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.25e0 ELSE 0.0e0 END + CASE WHEN c_nationkey < 10 THEN 0.15e0 ELSE 0.0e0 END + 0.15e0) AS confidence FROM customer")
 def clue_confidence(spark, sf_dir):
     w = sc.weight
     score = sc.total(w(F.col("c_acctbal") > 0, 0.45), w(F.col("c_mktsegment") == "BUILDING", 0.25), w(F.col("c_nationkey") < 10, 0.15), F.lit(0.15))
@@ -528,7 +528,7 @@ def family_use(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.when(F.count("*") >= 50, "core").when(F.avg("n_chars") > 3000, "deep").otherwise("tail").alias("use_class"))
 
 
-@R.query("source_precedence", "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'label' WHEN contains(text, 'License') THEN 'text' ELSE 'default' END AS origin, CASE WHEN quality IS NOT NULL THEN 0.9 WHEN contains(text, 'License') THEN 0.75 ELSE 0.5 END AS confidence FROM documents LEFT JOIN labels USING (doc_id)")
+@R.query("source_precedence", "SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'label' WHEN contains(text, 'License') THEN 'text' ELSE 'default' END AS origin, CASE WHEN quality IS NOT NULL THEN 0.9e0 WHEN contains(text, 'License') THEN 0.75e0 ELSE 0.5e0 END AS confidence FROM documents LEFT JOIN labels USING (doc_id)")
 def source_precedence(spark, sf_dir):
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     s = lambda name, c: F.struct(F.lit(name).alias("origin"), F.lit(c).alias("confidence"))
