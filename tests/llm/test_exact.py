@@ -294,6 +294,47 @@ def test_sentence_spans_against_brute_force(docs, texts, monkeypatch, hot):
     assert got == {d: (len(cut(t)), len(gone[d])) for d, t in enumerate(texts)}
 
 
+def removed_of_all_runs(split, least, alone):
+    """Of texts as lists of sentences (lists of words): the sentences that any run that repeats covers, but for its first occurrence."""
+    places, gone = collections.defaultdict(list), collections.defaultdict(set)
+    for d, s in enumerate(split):
+        for i in range(len(s)):
+            for j in range(i, len(s)):
+                run = tuple(map(tuple, s[i : j + 1]))
+                n = sum(map(len, run))
+                if n >= (least if j > i else alone):
+                    places[run].append((d, i, j))
+    for found in places.values():
+        for d, i, j in found[1:]:
+            gone[d] |= set(range(i, j + 1))
+    return gone
+
+
+@pytest.mark.parametrize(("least", "alone", "hot"), [(20, 20, 1), (20, 40, 10**6), (12, 12, 300), (12, 30, 300)])
+def test_sentence_spans_cover_all_that_repeats(spark, monkeypatch, least, alone, hot):
+    monkeypatch.setattr(sentences, "HOT", hot)
+    rnd = random.Random(5)
+    say = lambda n: [rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(999)) for _ in range(n)]
+    stock = [say(rnd.choice([1, 3, 5, 12, 12, 25, 41])) for _ in range(40)]
+    # Sentences of 12, 12 and 5 words first: nothing of 20 words follows the second.
+    split = [[say(12), say(12), say(5)]]
+    split += [[say(3), *split[0], say(4)], [say(6), split[0][1], split[0][2]]]
+    for _ in range(60):
+        at, n = rnd.randrange(len(stock)), rnd.randint(1, 9)
+        split.append([say(rnd.randint(1, 30)), *stock[at : at + n], say(rnd.randint(1, 30)), *stock[: rnd.randint(0, 3)], *rnd.choice(split)[:2]])
+    df = spark.createDataFrame([(d, ". ".join(" ".join(s) for s in text) + ".") for d, text in enumerate(split)], "doc_id long, text string")
+    want = removed_of_all_runs(split, least, alone)
+    got = {r.doc_id: r.n_removed for r in sentences.dedup(df, least, alone, whole=True).collect()}
+    assert got == {d: len(want[d]) for d in range(len(split))}
+    assert got[1] == 3
+
+
+def test_one_sentence_of_twenty_words_is_found_between_parts(spark):
+    shared = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, f"own part one. {shared}. and own"), (2, f"another part. {shared}. then more")], "doc_id long, text string")
+    assert {r.doc_id: r.n_words_removed for r in sentences.digest(df).collect()} == {1: 0, 2: 20}
+
+
 # Top-k
 
 
