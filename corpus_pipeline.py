@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long strings that occur elsewhere too; those of which nothing is left go."""
-    cut = suffixes.trim(docs)
+    cut = suffixes.trim(docs, suffixes.LENGTH, suffixes.GRAM)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).where("text IS NOT NULL AND trim(text) <> ''")
 
 

@@ -54,3 +54,12 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run_gives_what_the_stages_give(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_suffix_stage_sees_passages_of_51_words(spark, sf_dir):
+    passage = " ".join(f"w{k:03}" for k in range(51))
+    assert 252 <= len(passage) < 400
+    texts = {1: f"Own start {passage} own end.", 2: f"Another one {passage} and more.", 3: "Nothing that repeats."}
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, sf_dir).collect()}
+    assert got == trimmed_by_force(texts, 240) and passage not in got[1] and passage not in got[2]
