@@ -11,7 +11,8 @@ their host.
 
 The graph has one row for each pair of hosts, however many pages link them;
 links are summed before they are shuffled, a hub's scores are one row, and each
-round is cut by a checkpoint. Only DataFrame functions are used.
+round is cut by a checkpoint. Rounds go on until all scores together change by
+less than a hundredth of the least distrust that blocks, however long the chains. Only DataFrame functions are used.
 
 Defined cases: null urls and urls without `://` have empty host and path and are
 allowed; null html has no links; repeated pages are judged alike and weigh as
@@ -62,17 +63,21 @@ def links(pages: DataFrame) -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank: (host, score) from seeds (host, seed) over edges (src, dst, share), by power iteration."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """Personalised PageRank: (host, score) from seeds (host, seed) over edges (src, dst, share), by power iteration until a round changes all scores together by at most `tolerance`."""
     score = seeds.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        moved = edges.join(score, edges.src == score.host).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        kept = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"))
-        score = cut(moved.unionByName(kept).groupBy("host").agg(F.sum("score").alias("score")))
+    kept = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score"), F.lit(0.0).alias("was"))
+    bound = 2.0  # a round changes the scores by at most damping times what the one before it did
+    while bound > tolerance:
+        moved = edges.join(score, edges.src == score.host).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"), F.lit(0.0).alias("was"))
+        before = score.select("host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        after = cut(moved.unionByName(kept).unionByName(before).groupBy("host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")))
+        bound = min(bound * damping, after.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0)
+        score = after.select("host", "score")
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85, threshold: float = 1e-3) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 1e-3) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     pages = plain(pages, "page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
@@ -94,7 +99,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85,
         seeds = hosts.where(2 * F.col(seeded) > F.col("pages"))
         total = seeds.agg(F.sum(seeded)).first()[0] or 0
         seeds = seeds.select("host", (F.col(seeded) / F.lit(float(max(total, 1)))).alias("seed"))
-        found = seeds.select("host", F.col("seed").alias("score")) if not linked else spread(cut(forward if name == "trust" else back), seeds, rounds, damping)
+        found = seeds.select("host", F.col("seed").alias("score")) if not linked else spread(cut(forward if name == "trust" else back), seeds, damping, 0.01 * threshold * even)
         scores = scores.join(found.select("host", F.col("score").alias(name)), "host", "left")
     scores = cut(scores.select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]))
     result = judged.join(scores, "host", "left")

@@ -406,6 +406,14 @@ def test_distrust_spreads_against_links_and_trust_along_them(spark):
         assert r.trust == pytest.approx(trust.get(r.host, 0)) and r.distrust == pytest.approx(distrust.get(r.host, 0))
 
 
+def test_distrust_reaches_hosts_many_links_away(spark):
+    hosts = ["bad.net", *(f"h{k}.com" for k in range(1, 13))]
+    rows = [(k, f"http://{h}/", f'<a href="http://{hosts[k - 1]}/">l</a>' if k else "") for k, h in enumerate(hosts)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(13):
+        assert got[k].verdict == "block" and got[k].distrust == pytest.approx(0.15 * 0.85**k)
+
+
 def test_verdicts_do_not_depend_on_how_many_hosts_there_are(spark):
     rows = [(1, "http://bad.net/", ""), (2, "http://farm.com/", '<a href="http://bad.net/">l</a>'), (3, "http://alone.com/", "")]
     often = [(10 * k + i, u.replace("://", f"://h{k}-"), h.replace("://", f"://h{k}-")) for k in range(300) for i, u, h in rows]
