@@ -159,10 +159,7 @@ def sql_masking(spark, sf_dir):
 
 @R.query("nfkc_normalise")
 def nfkc(spark, sf_dir):
-    """Compatibility forms are looked up once for each distinct source, then joined back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    forms = docs.select("source").distinct().select("source", tx.nfkc("source").alias("normal"))
-    return docs.join(forms, "source").select("doc_id", "normal")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.nfkc("text").alias("normal"))
 
 
 @R.query("quantity_parse")

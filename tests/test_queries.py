@@ -1,6 +1,7 @@
 """Every query with an oracle gives the oracle's rows on the smallest tables."""
 
 import math
+import unicodedata
 
 import duckdb
 import pytest
@@ -51,3 +52,10 @@ def test_entry(spark, sf_dir):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_nfkc_is_of_the_whole_text(spark, tmp_path):
+    rows = [(1, "Ｆｕｌｌ ｗｉｄｔｈ １２", None), (2, "ﬁne oﬃce ①", "src0"), (3, None, "src0"), (4, "plain", "ｓ")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.normal for r in queries.QUERIES["nfkc_normalise"](spark, str(tmp_path)).collect()}
+    assert got == {d: t and unicodedata.normalize("NFKC", t) for d, t, _ in rows}
