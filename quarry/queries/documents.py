@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import documents as dj
 from quarry.functions import scoring as sc
 from quarry.functions import text as tx
+from quarry.llm.common import cut
 from quarry.operators.matching import GAP, assign
 from quarry.queries.registry import Registry
 from quarry.sources.tables import table
@@ -337,15 +338,25 @@ def alias_gap(spark, sf_dir):
 
 @R.query("greedy_assignment")
 def greedy(spark, sf_dir):
-    """Lines of an order matched one to one with the parts it names, by similarity of name and quantity; ambiguous where the next best is near."""
-    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").dropDuplicates(["l_orderkey", "l_linenumber"])
+    """Lines of an order matched one to one with the parts it names, by similarity of name and quantity; ambiguous where the next best is near.
+
+    A line number can occur twice in an order, so a line's key is its number, part, supplier and, for what is still alike,
+    its place by all other columns. `clue` and `line` are such keys, numbered within the order.
+    """
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
+    key = ["l_linenumber", "l_partkey", "l_suppkey"]
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*key, *[c for c in lines.columns if c not in ("l_orderkey", *key)]))
+    line = lines.select("l_orderkey", *key, "l_quantity", place.alias("place"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("kind"))
-    named = line.join(part, F.col("p_partkey") == F.col("l_partkey"))
-    clue = named.select("l_orderkey", F.col("l_linenumber").alias("clue"), F.col("kind").alias("clue_kind"), F.col("l_quantity").alias("clue_quantity"))
-    pairs = named.join(clue, "l_orderkey").select(
-        "l_orderkey", "clue", F.col("l_linenumber").alias("line"),
+    named = cut(line.join(part, F.col("p_partkey") == F.col("l_partkey")))
+    classes = named.groupBy("l_orderkey", "kind", "l_quantity").agg(F.collect_list(F.struct("place", *key)).alias("lines"))
+    clue = classes.select("l_orderkey", F.col("lines").alias("clues"), F.col("kind").alias("clue_kind"), F.col("l_quantity").alias("clue_quantity"))
+    scored = classes.join(clue, "l_orderkey").select(
+        "l_orderkey", "clues", "lines",
         sc.rounded(F.least(F.lit(0.99), 0.5 * tx.similarity(F.col("kind"), F.col("clue_kind")) + sc.weight(F.col("l_quantity") == F.col("clue_quantity"), 0.45)), 2).alias("score"),
     )
+    pairs = scored.select("l_orderkey", F.explode("clues.place").alias("clue"), "lines", "score").select("l_orderkey", "clue", F.explode("lines").alias("l"), "score")
+    pairs = pairs.select("l_orderkey", "clue", F.col("l.place").alias("line"), *[F.col(f"l.{c}").alias(c) for c in key], "score")
     ahead = F.lead("score").over(Window.partitionBy("l_orderkey", "clue").orderBy(F.desc("score"), "line"))
     pairs = pairs.withColumn("clear", F.coalesce(F.col("score") - ahead >= GAP, F.lit(True)))
     return assign(pairs, "l_orderkey", "clue", "line", "score")

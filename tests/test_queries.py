@@ -1,10 +1,12 @@
 """Every query with an oracle gives the oracle's rows on the smallest tables."""
 
+import collections
 import math
 import unicodedata
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import queries
 from quarry.sources.tables import TABLES
@@ -59,3 +61,14 @@ def test_nfkc_is_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.normal for r in queries.QUERIES["nfkc_normalise"](spark, str(tmp_path)).collect()}
     assert got == {d: t and unicodedata.normalize("NFKC", t) for d, t, _ in rows}
+
+
+def test_greedy_assignment_keeps_every_line(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'A'")
+    lines = lines.join(spark.read.parquet(f"{sf_dir}/part.parquet"), lines.l_partkey == F.col("p_partkey"), "left_semi")
+    want = collections.Counter(map(tuple, lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()))
+    got = queries.QUERIES["greedy_assignment"](spark, sf_dir).collect()
+    # A line is at its best with one of its own kind and quantity, so each is taken, once.
+    assert collections.Counter((r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey) for r in got) == want
+    assert len({(r.l_orderkey, r.clue) for r in got}) == len({(r.l_orderkey, r.line) for r in got}) == len(got)
+    assert len({k[:2] for k in want}) < len(got)
