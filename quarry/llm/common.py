@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -13,15 +15,25 @@ from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once; long texts are cut into smaller runs by `runs`.
 ARROW_ROWS = 512
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches bound the memory of Python workers; a checkpoint folder is set only where none is."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Small Arrow batches bound the memory of Python workers, unless the session has its own size; a checkpoint folder is set only where none is.
+
+    Only a local master, as in tests, gets a folder of its own, which goes with the driver: executors elsewhere could not read it.
+    """
+    if spark.conf.get(BATCH) == "10000":  # Spark's default
+        spark.conf.set(BATCH, str(ARROW_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ stochastic sub-gradient steps on the hinge loss.
 
 They are fitted on at most `per_language` documents of each language, those of
 the smallest hash of doc_id and text, from the documents with a label, and on at
-most `most` in all; this bounds what reaches the driver, and it is the only
+`most` in all; this bounds what reaches the driver, and it is the only
 place where a sample is taken. Every text
 is read whole when it is judged, in batches whose runs are gathered by
 vectorised lookups.
@@ -64,32 +64,49 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buffer(pc.binary_join_element_wise(pc.utf8_lower(column), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
 
 
-def features(column: pa.Array) -> np.ndarray:
-    """A row of feature shares for each text."""
+class Rows:
+    """Feature shares of texts, of which few are not zero: the features of text i and their values lie at at[i] to at[i + 1]."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.at = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])]).astype(np.int64)
+        self.index = np.concatenate([i for i, _ in rows] or [np.zeros(0, np.uint16)])
+        self.value = np.concatenate([v for _, v in rows] or [np.zeros(0, np.float16)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place among `rows`, feature and value of all that is not zero there."""
+        n = self.at[rows + 1] - self.at[rows]
+        place = np.arange(n.sum()) + np.repeat(self.at[rows] - np.cumsum(n) + n, n)
+        return np.repeat(np.arange(len(rows)), n), self.index[place], self.value[place].astype(np.float64)
+
+
+def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the features that it has and their shares: square roots of counts, of length 1."""
     data, offsets = lowered(column)
-    out = np.zeros((len(column), 1 << BITS), np.float32)
-    for h in hashed(data):
-        for i in range(len(column)):
-            out[i] += np.bincount(h[offsets[i] : offsets[i + 1]], minlength=1 << BITS)
-    out = np.sqrt(out)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    found = hashed(data)
+    out = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        counts = sum(np.bincount(h[a:b], minlength=1 << BITS) for h in found)
+        index = np.flatnonzero(counts)
+        out.append((index.astype(np.uint16), np.sqrt(counts[index] / max(1, counts.sum())).astype(np.float16)))
+    return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, penalty: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """A linear support vector machine for y in -1, 1: weights and bias, averaged over the steps after the first round."""
+def svm(x: Rows, own: np.ndarray, y: np.ndarray, rounds: int = 12, penalty: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """A linear support vector machine for y in -1, 1 of the rows `own`: weights and bias, averaged over the steps after the first round."""
     rng = np.random.default_rng(seed)
-    w, b, sums, sum_b, steps, t = np.zeros(x.shape[1], np.float64), 0.0, np.zeros(x.shape[1], np.float64), 0.0, 0, 0
+    size = 1 << BITS
+    w, b, sums, sum_b, steps, t = np.zeros(size), 0.0, np.zeros(size), 0.0, 0, 0
     share = {s: len(y) / (2 * max(1, int((y == s).sum()))) for s in (-1, 1)}
     for r in range(rounds):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 16)):
             t += 1
             rate = 1 / (penalty * (t + 1000))
-            bad = rows[y[rows] * (x[rows] @ w + b) < 1]
+            place, index, value = x.take(own[rows])
+            bad = y[rows] * (np.bincount(place, value * w[index], len(rows)) + b) < 1
             w *= 1 - rate * penalty
-            if len(bad):
-                pull = np.array([share[int(s)] for s in y[bad]]) * y[bad] * (rate / len(rows))
-                w += pull @ x[bad]
+            if bad.any():
+                pull = np.where(bad, np.where(y[rows] > 0, share[1], -share[-1]), 0) * (rate / len(rows))
+                w += np.bincount(index, pull[place] * value, size)
                 b += 0.01 * pull.sum()
             if r:
                 sums += w
@@ -101,7 +118,7 @@ def svm(x: np.ndarray, y: np.ndarray, rounds: int = 12, penalty: float = 1e-4, s
 class Model:
     """Families, their one-against-the-rest weights, and the one-versus-one weights of the pairs in each."""
 
-    def __init__(self, x: np.ndarray, languages: list[str]) -> None:
+    def __init__(self, x: Rows, languages: list[str]) -> None:
         names = np.array(languages)
         self.languages = sorted(set(languages))
         self.families = sorted({family_of(v) for v in self.languages})
@@ -109,7 +126,7 @@ class Model:
         weights, biases = [], []
 
         def add(rows: np.ndarray, y: np.ndarray) -> int:
-            w, b = svm(x[rows], y)
+            w, b = svm(x, rows, y)
             weights.append(w)
             biases.append(b)
             return len(weights) - 1
@@ -123,7 +140,7 @@ class Model:
                 for b in own[i + 1 :]:
                     rows = np.flatnonzero((names == a) | (names == b))
                     self.pair_row[a, b] = add(rows, np.where(names[rows] == a, 1, -1))
-        self.weights = np.array(weights, np.float32).reshape(len(weights), x.shape[1])
+        self.weights = np.array(weights, np.float32).reshape(len(weights), 1 << BITS)
         self.biases = np.array(biases)
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,18 +211,18 @@ def fit(docs: DataFrame, per_language: int = 600, most: int = 20_000) -> Model |
 
     def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, "text"):
-            x = features(b.column("text")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            x = features(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("lang"), *[pa.array([r[k].tobytes() for r in x], pa.binary()) for k in (0, 1)]], names=["lang", "features", "shares"])
 
-    rows = sample(docs, per_language, most).mapInArrow(as_features, "lang string, x binary").toLocalIterator()
+    rows = sample(docs, per_language, most).mapInArrow(as_features, "lang string, features binary, shares binary").toLocalIterator()
     names, x = [], []
-    for lang, v in rows:
+    for lang, i, v in rows:
         names.append(lang)
-        x.append(np.frombuffer(v, np.float16))
+        x.append((np.frombuffer(i, np.uint16), np.frombuffer(v, np.float16)))
     if not names:
         return None
-    order = sorted(range(len(names)), key=lambda i: (names[i], x[i].tobytes()))  # whatever order the rows came in
-    return Model(np.array([x[i] for i in order], np.float32), [names[i] for i in order])
+    order = sorted(range(len(names)), key=lambda i: (names[i], x[i][0].tobytes(), x[i][1].tobytes()))  # whatever order the rows came in
+    return Model(Rows([x[i] for i in order]), [names[i] for i in order])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
