@@ -27,12 +27,12 @@ def op8_exact_topk(spark, sf_dir):
 
 
 ORACLES["op8_exact_topk"] = """
-WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
            FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product([CAST(x AS DOUBLE) for x in q.e], [CAST(x AS DOUBLE) for x in c.e]) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+     s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product([CAST(x AS DOUBLE) for x in q.e], [CAST(x AS DOUBLE) for x in c.e]) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -489,6 +489,8 @@ def test_language_cases(spark, sf_dir, none):
     assert language.digest(none).count() == 0
 
 
-def test_topk_needs_one_dimension(spark):
-    with pytest.raises(ValueError):
-        topk.search(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+def test_topk_of_repeated_rows_and_several_dimensions(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (8, [3.0]), (7, [2.0]), (7, [2.0]), (6, [9.0, 9.0]), (50, [1.0, 0.0]), (100, [1.0] * 3), (0, None)]
+    got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, 1, 2, 1).collect())
+    mine = [(0, 1, 8, 3 << 16), (0, 2, 7, 2 << 16), (0, 3, 7, 2 << 16), (0, 4, 0, 1 << 16)]
+    assert got == sorted(mine * 2 + [(50, 1, 6, 9 << 16)])
