@@ -1,22 +1,27 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Each shard (a few megabytes of documents inside a task) gets a suffix array over
-its words: the positions whose text can begin an occurrence, sorted by the words
-that follow. Every test suffix (each window of 13 words of each item) is
-binary-searched in every shard, which gives all its verbatim occurrences and
-their places; neighbouring occurrences of one item join to the longest match.
-
-Positions whose first words begin no test suffix can't be in any search's
-range, so they are left out of the array before sorting; that changes no result.
-
-The benchmark goes to the tasks in blocks of at most `block_words` words, which
-bounds what is broadcast whatever its size; with several blocks, the documents
-pass through one after the other, without a shuffle.
+its words: positions in the order of the words that follow. Every test suffix
+(from each word of each item on) is binary-searched in every shard, by its first
+13 words, which gives all places where it goes on for a window or more; from
+there verbatim matches are followed word by word in both directions to their
+full length, and reported with their places in the document and in the item.
+
+Words that no item holds match nothing, so they cut the texts into stretches, and
+only stretches of a window's length enter the array; that changes no result. Runs
+of 1, 2, 4 and 8 words have numbers in the order of their words, by which the
+windows are compared.
+
+The benchmark is dealt to blocks of about `block_words` by a hash of its items,
+and one block at a time is read and sent to the tasks; of documents only the
+matches are kept from one block to the next, so neither the driver nor a task
+holds more than a block. A benchmark of one block takes no shuffle.
 
 Defined cases: null or empty texts, and texts of punctuation only, have no words
-and are clean; items without words have no windows; repeated items, documents
-and ids are judged row by row; empty tables give no rows, or no hits; other
-columns are ignored by `digest` and kept by `clean`.
+and are clean; items without words have no windows; items of fewer than 13 words
+are one window; repeated items, documents and ids are judged row by row; items of
+null id count for hits, but are not listed; empty tables give no rows, or no
+hits; other columns are ignored by `digest` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -28,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MULTIPLIER, Words, buffer, mix, plain, prepare, runs
+from quarry.llm.common import Words, buffer, cut, plain, prepare, runs
 
 WINDOW = 13
 #: Bytes of words: digits, letters, and every byte of characters beyond ASCII.
 INSIDE = np.array([not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
 FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-LEAD = 4  # words compared before a position enters a suffix array
 NO_ID = -(1 << 63)  # of items of null id: they count for hits, but are not listed
-HITS = "array<struct<item_id:bigint,start:bigint,end:bigint>>"
+HITS = "array<struct<item_id:bigint,start:bigint,end:bigint,place:bigint>>"
+_HITS = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "end", "place")]))
 
 
 def words_of(column: pa.Array) -> Words:
@@ -44,115 +49,198 @@ def words_of(column: pa.Array) -> Words:
     return Words(FOLD[data], offsets, INSIDE)
 
 
-def prefixes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n words from each position on that has them."""
-    value = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for i in range(n):
-        value = value * np.uint64(MULTIPLIER) + h[i : i + len(value)]
-    return mix(value)
-
-
-class TestSuffixes:
-    """The windows of a block of items, grouped by their number of words (fewer than `window` only for whole short items)."""
+def find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the keys in a sorted table; -1 where they aren't in it."""
+    if not len(table):
+        return np.full(len(key), -1)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return np.where(table[at] == key, at, -1)
+
+
+def numbered(a: np.ndarray, b: np.ndarray, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of pairs, in their order, by a table of pairs that is made here if there is none; -1 for pairs that aren't in it."""
+    key = (a.astype(np.int64) << 32) | b
+    whole = (a >= 0) & (b >= 0)
+    if table is None:
+        table = np.unique(key[whole])
+    return np.where(whole, find(table, key), -1), table
+
+
+class Numbers:
+    """Numbers of the windows that begin at words: -1 where a window is in no test, or does not lie within one stretch.
+
+    words: the number of each word; end: where its stretch ends. The tables of pairs are made by the first text, the tests, and used for the others.
+    """
+
+    def __init__(self, words: np.ndarray, end: np.ndarray, tables: dict) -> None:
+        self.words, self.end, self.tables = words, end, tables
+        self.runs = {1: words}
+
+    def pairs(self, at: np.ndarray, first: np.ndarray, size: int, more: np.ndarray, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of the places `at` if `first` (of `size` words) is followed by a run in `more`, and the numbers of both together."""
+        fits = at + size < self.end[at]
+        at, first = at[fits], first[fits]
+        number, table = numbered(first, more[at + size], self.tables.get(key))
+        self.tables.setdefault(key, table)
+        return at[number >= 0], number[number >= 0]
+
+    def run(self, size: int) -> np.ndarray:
+        """For each place the number of the run of `size` words, a power of two."""
+        if size not in self.runs:
+            half = self.run(size // 2)
+            at = np.flatnonzero(half >= 0)
+            at, number = self.pairs(at, half[at], size // 2, half, (0, size))
+            self.runs[size] = np.full(len(half), -1, np.int32)
+            self.runs[size][at] = number
+        return self.runs[size]
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where a window of `size` words in the tests begins, and its number."""
+        done = 1 << (size.bit_length() - 1)
+        at = np.flatnonzero(self.run(done) >= 0)
+        number = self.run(done)[at]
+        for bit in range(size.bit_length() - 2, -1, -1):
+            if size >> bit & 1:
+                at, number = self.pairs(at, number, done, self.run(1 << bit), (size, bit))
+                done += 1 << bit
+        return at, number
+
+
+class Tests:
+    """The suffixes of a block of items; items of the same words are one."""
 
     def __init__(self, items: list[tuple[int, str]], window: int) -> None:
         w = words_of(pa.array([t for _, t in items], pa.string()))
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        starts: dict[int, list[tuple[int, int]]] = {}
+        self.ids: list[list[int]] = []
+        place: dict[bytes, int] = {}
+        parts: list[np.ndarray] = []
         for i, (item, _) in enumerate(items):
-            n = int(w.last[i] - w.first[i])
-            size = min(n, window)
-            if size:
-                starts.setdefault(size, []).extend((int(w.first[i]) + j, item) for j in range(n - size + 1))
-        for size, found in starts.items():
-            at, owner = np.array([a for a, _ in found]), np.array([o for _, o in found], np.int64)
-            self.by_size[size] = (w.hash[at[:, None] + np.arange(size)], owner, np.unique(prefixes(w.hash, min(size, LEAD))[at]))
-
-
-def occurrences(w: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences of the test suffixes in a shard: text, first word, end word and item of each."""
-    out = []
-    for size, (windows, owner, leads) in tests.by_size.items():
-        lead = min(size, LEAD)
-        n = len(w.hash) - size + 1
-        if n <= 0:
-            continue
-        head = prefixes(w.hash, lead)[:n]
-        at = np.searchsorted(leads, head)
-        at[at == len(leads)] = 0
-        can = np.flatnonzero((leads[at] == head) & (w.text[:n] == w.text[size - 1 :]))
-        if not len(can):
-            continue
-        # The suffix array of what is left: by the words that follow, compared word by word.
-        rows = w.hash[can[:, None] + np.arange(size)]
-        order = np.lexsort(rows.T[::-1])
-        suffixes, rows = can[order], np.ascontiguousarray(rows[order])
-        # Binary search, one word after the other: the range of suffixes that begin with the words so far.
-        low, high = _ranges(rows, windows)
-        count = high - low
-        test = np.repeat(np.arange(len(windows)), count)
-        place = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        start = suffixes[place]
-        out.append((w.text[start], start, start + size, owner[test]))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _ranges(rows: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the range [low, high) of the sorted rows equal to it, by bisection on whole rows at once."""
-    big_rows, big_windows = (np.ascontiguousarray(x.astype(">u8")).view(f"V{8 * x.shape[1]}").ravel() for x in (rows, windows))
-    keys = np.array([bytes(x) for x in big_rows], object) if len(big_rows) else np.zeros(0, object)
-    sought = np.array([bytes(x) for x in big_windows], object)
-    return np.searchsorted(keys, sought, "left"), np.searchsorted(keys, sought, "right")
-
-
-def joined(text: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Overlapping or touching occurrences of one item in one text as one longest match."""
-    if not len(text):
-        return text, start, end, item
-    order = np.lexsort((start, item, text))
-    text, start, end, item = (x[order] for x in (text, start, end, item))
-    group = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
-    # Ends never fall within a group, as all windows of an item have one size.
-    fresh = group | np.concatenate([[True], start[1:] > end[:-1]])
-    head = np.flatnonzero(fresh)
-    return text[head], start[head], np.maximum.reduceat(end, head), item[head]
+            own = w.hash[w.first[i] : w.last[i]]
+            if len(own):
+                c = place.setdefault(own.tobytes(), len(parts))
+                if c == len(parts):
+                    parts.append(own)
+                    self.ids.append([])
+                self.ids[c].append(item)
+        size = np.array([len(p) for p in parts], np.int64)
+        self.first = np.cumsum(size) - size
+        self.item = np.repeat(np.arange(len(parts)), size)
+        self.vocabulary, words = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_inverse=True)
+        self.tables: dict = {}
+        numbers = Numbers(words, (self.first + size)[self.item], self.tables)
+        self.words, self.end = words, numbers.end
+        self.least = int(size.min(initial=window))
+        #: By size of windows: the suffixes' places in order of their windows and items, and those windows and items.
+        self.suffixes = {}
+        for n in sorted({min(int(s), window) for s in size}):
+            at, number = numbers.windows(n)
+            mine = np.minimum(size[self.item[at]], window) == n
+            at, number = at[mine], number[mine]
+            order = np.lexsort((at, self.item[at], number))
+            self.suffixes[n] = (at[order], number[order], self.item[at[order]])
+
+    def matches(self, w: Words) -> Iterator[tuple[int, int, int, int, int]]:
+        """Verbatim matches of full length in a shard: text, item, first word and end word (counted over the shard), and the first word's place in the item.
+
+        Together they cover every occurrence of each item's windows.
+        """
+        words = find(self.vocabulary, w.hash)
+        inside = words >= 0
+        fresh = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | (w.text[1:] != w.text[:-1])])) if len(words) else np.zeros(0, np.int64)
+        # A stretch ends before the next word that no item holds, or the next stretch.
+        stop = np.concatenate([np.flatnonzero(~inside), [len(words)]])
+        ends = np.minimum(stop[np.searchsorted(stop, fresh)], np.concatenate([fresh[1:], [len(words)]])) if len(fresh) else fresh
+        long = ends - fresh >= self.least
+        fresh, ends = fresh[long], ends[long]
+        size = ends - fresh
+        own = np.arange(size.sum()) + np.repeat(fresh - np.cumsum(size) + size, size)
+        begin, end, kept = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), np.full(len(words), -1, np.int32)
+        kept[own], begin[own], end[own] = words[own], np.repeat(fresh, size), np.repeat(ends, size)
+        numbers = Numbers(kept, end, self.tables)
+        for size, (places, tests, items) in self.suffixes.items():
+            at, number = numbers.windows(size)
+            if not len(at):
+                continue
+            # The suffix array, and the range of it that begins with each test suffix's window.
+            array = np.argsort(number, kind="stable")
+            at, number = at[array], number[array]
+            low, high = np.searchsorted(number, tests, "left"), np.searchsorted(number, tests, "right")
+            head = np.concatenate([[True], (tests[1:] != tests[:-1]) | (items[1:] != items[:-1])])  # one search for each window and item
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(tests))
+            count = (high - low)[first]
+            group = np.repeat(np.arange(len(first)), count)
+            start = at[np.arange(count.sum()) + np.repeat(low[first] - np.cumsum(count) + count, count)]
+            order = np.lexsort((start, items[first[group]], w.text[start]))
+            before, done = None, 0
+            for s, g in zip(start[order].tolist(), group[order].tolist(), strict=True):
+                key = (int(w.text[s]), int(items[first[g]]))
+                if key != before:
+                    before, done = key, 0
+                if s + size > done:  # not within the match before it
+                    a, b, place = max((self._whole(kept, begin, end, s, p, size) for p in places[first[g] : last[g]].tolist()), key=lambda m: (m[1] - m[0], -m[2]))
+                    done = b
+                    yield (*key, a, b, place)
+
+    def _whole(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, s: int, p: int, size: int) -> tuple[int, int, int]:
+        """The match of word s with the test word p, of `size` words, as far as it goes: first word, end word, and place in the item."""
+        head = int(self.first[self.item[p]])
+        left, right = min(s - int(begin[s]), p - head), min(int(end[s]) - s, int(self.end[p]) - p)
+        other = np.flatnonzero(words[s + size : s + right] != self.words[p + size : p + right])
+        b = s + size + int(other[0]) if len(other) else s + right
+        other = np.flatnonzero(words[s - left : s] != self.words[p - left : p])
+        back = left - 1 - int(other[-1]) if len(other) else left
+        return s - back, b, p - back - head
 
 
 def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `block_words` words (an item of more is a block), read one partition at a time."""
-    block, size = [], 0
-    for item, text in benchmark.select("item_id", "text").toLocalIterator():
-        n = (text or "").count(" ") + 1 + len(text or "") // 2
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((NO_ID if item is None else item, text or ""))
-        size += n
-    yield block
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 4_000_000) -> DataFrame:
-    """The documents with n_words and `matches`: item, first word and end word of each longest verbatim match with an item's windows."""
-    prepare(docs.sparkSession)
+    """The items in blocks of about `block_words` words, at eight bytes a word (an item is never cut), one at a time in the driver."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // (8 * block_words)) or 1
+    for k in range(n):
+        own = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield [(NO_ID if item is None else item, text or "") for item, text in own.select("item_id", "text").collect()]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000) -> DataFrame:
+    """The documents with n_words and `matches`: item, first word, end word and place in the item of each longest verbatim match."""
+    spark = docs.sparkSession
+    prepare(spark)
     docs = docs.withColumns({"n_words": F.lit(0).cast("long"), "matches": F.array().cast(HITS)})
-    schema = docs.schema
-    for items in blocks(plain(benchmark, "item_id", "text"), block_words):
-        tests = TestSuffixes(items, window)
 
-        def look(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
+    def looked(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(items)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = Tests(sent.value, window)
             for b in runs(batches, "text", 4 << 20):
                 w = words_of(b.column("text"))
-                text, start, end, item = joined(*occurrences(w, tests))
-                found = b.column("matches").to_pylist() if b.num_rows else []
-                for t, s, e, i in zip(text.tolist(), (start - w.first[text]).tolist(), (end - w.first[text]).tolist(), item.tolist(), strict=True):
-                    found[t] = [*(found[t] or []), {"item_id": i, "start": s, "end": e}]
+                found = b.column("matches").to_pylist()
+                for t, item, s, e, place in tests.matches(w):
+                    own = [{"item_id": i, "start": s - int(w.first[t]), "end": e - int(w.first[t]), "place": place} for i in tests.ids[item]]
+                    found[t] = [*(found[t] or []), *own]
                 b = b.set_column(b.schema.get_field_index("n_words"), "n_words", pa.array(w.counts().astype(np.int64)))
-                yield b.set_column(b.schema.get_field_index("matches"), "matches", pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))))
+                yield b.set_column(b.schema.get_field_index("matches"), "matches", pa.array(found, _HITS))
+
+        return rows.mapInArrow(look, rows.schema)
+
+    earlier, last = None, None
+    for items in blocks(plain(benchmark, "item_id", "text"), block_words):
+        if last is not None:  # of all blocks but the last only the matches are kept, by text
+            hits = looked(docs.select("text", "n_words", "matches"), last).where(F.size("matches") > 0)
+            hits = cut(hits.select(_digest().alias("digest"), "matches").dropDuplicates(["digest"]))
+            earlier = hits if earlier is None else earlier.unionByName(hits)
+        last = items
+    if earlier is not None:
+        own = docs.columns
+        earlier = earlier.groupBy("digest").agg(F.flatten(F.collect_list("matches")).alias("earlier"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), _digest().alias("digest")).join(earlier, "digest", "left")
+        docs = rows.select(*[F.col(f"row.`{c}`") for c in own if c != "matches"], F.coalesce("earlier", "row.matches").alias("matches"))
+    return looked(docs, last)
+
 
-        docs = docs.mapInArrow(look, schema)
-    return docs
+def _digest():
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def _union_length(m):
@@ -169,7 +257,7 @@ def _union_length(m):
     return total["n"]
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 4_000_000) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = 1_000_000) -> DataFrame:
     """`matches` with n_hit (words in any match), items, and contaminated: a hit, and n_hit at least 1 / share of the words."""
     found = matches(docs, benchmark, window, block_words)
     items = F.array_sort(F.transform(F.array_distinct(F.filter(F.transform("matches", lambda x: x["item_id"]), lambda i: i != NO_ID)), lambda i: i.cast("string")))

@@ -166,6 +166,43 @@ def test_decontamination(spark, docs, texts, block_words):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {d for d, v in want.items() if not v[4]}
 
 
+def longest_by_force(text, item):
+    """Maximal verbatim matches of at least a window: (start, end, place)."""
+    a, b = words(text), words(item)
+    least, out = min(13, len(b)), set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] != b[j] or (i and j and a[i - 1] == b[j - 1]):
+                continue
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= least:
+                out.add((i, i + n, j))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [10, 4_000_000])
+def test_matches_are_of_full_length_and_have_their_places(spark, block_words):
+    rnd = random.Random(4)
+    items = [(k, " ".join(rnd.choice("a b c d e f g h i j".split()) + str(rnd.randrange(9)) for _ in range(40))) for k in range(6)] + [(6, "x y " * 15), (7, "same " * 20)]
+    cut = [t.split() for _, t in items]
+    docs = [" ".join(["own", *cut[0][2:20], "between", *cut[0][10:40], *cut[1][:13]]), " ".join([*cut[2], *cut[2][5:30]]), "x y " * 9, " ".join(cut[3][:12]), "same " * 33, " ".join([*cut[4][20:35], *cut[4][35:], "Z", *cut[5][:20], *cut[4][:13]])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = decontamination.matches(df, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    for r in rows:
+        got = collections.defaultdict(set)
+        for m in r.matches:
+            got[m["item_id"]].add((m["start"], m["end"], m["place"]))
+        for item, text in items:
+            want = longest_by_force(r.text, text)
+            assert got[item] <= want
+            assert {x for s, e, _ in got[item] for x in range(s, e)} == {x for s, e, _ in want for x in range(s, e)}
+            if item < 6:
+                assert got[item] == want
+    assert sum(len(r.matches) for r in rows) >= 8
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.digest(docs, empty).where("n_hit > 0").count() == 0
