@@ -13,10 +13,17 @@ sidebars, notices, adverts, forms and comments, whose labels are known by
 construction. It is trained once in the driver and travels with the tasks; no
 page passes through the driver.
 
+Pages are read in one pass, in time in proportion to their length whatever is
+left open, and long ones are labelled segment by segment: the states of the
+network are carried on, so that the result is that of the whole page, and memory
+is that of a segment and of the blocks themselves.
+
 Defined cases: null and empty pages have an empty text; what is not closed is
 closed by its container's end or the page's; a script or comment that never ends
-reaches to the page's end; a line break tag is white space; repeated rows are
-read alike; an empty table gives no rows; other columns are ignored.
+reaches to the page's end; a quote that never ends closes with its tag; a tag
+that never ends is text; tags deeper than `DEPTH` count as if they stood there,
+as in browsers; a line break tag is white space; repeated rows are read alike; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +40,10 @@ from pyspark.sql import DataFrame
 from quarry.llm.common import Words, plain, prepare, runs
 from quarry.llm.decontamination import FOLD, INSIDE
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|object|textarea|select)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*+>"
-    r"|<[!?][^>]*+>",
-    re.S | re.I,
-)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+RAW = re.compile(r"<(script|style|template|noscript|svg|iframe|object|textarea|select)\b", re.I)
+INSIDE_TAG = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
+MARK = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Tags by the HTML standard: those without content, and those that don't begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,16 +52,72 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 HOLDS = frozenset("ul ol dl table tbody thead tfoot menu body".split())
 
+DEPTH = 128
+SEGMENT = 4096  # blocks of a page that are labelled at once
 PATH, LAST, WORD, MORE = 192, 48, 48, 8
 SIZE = PATH + LAST + WORD + MORE
 HIDDEN = 24
 BLOCK = tuple[tuple[str, ...], str, int]  # path, text, characters in links
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """What is not text: start, end, name (empty for comments and the like), whether it is an end tag, and attributes.
+
+    Nothing is looked for twice that was not found: a tag's end after the last one, or marks after which a quote stays open.
+    """
+    at, close, open_for_good = 0, 0, set()
+
+    def end_of(at: int) -> int:
+        """The end of a tag whose quotes are all closed, or -1."""
+        if not open_for_good:
+            if m := INSIDE_TAG.match(page, at):
+                return m.end()
+        passed = []
+        while (m := MARK.search(page, at)) and m[0] != ">" and m.start() not in open_for_good:
+            passed.append(m.start())
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        if m and m[0] == ">" and at:
+            return m.end()
+        open_for_good.update(passed)
+        return -1
+
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else len(page)
+            yield start, at, "", False, ""
+            continue
+        if 0 <= close <= start:
+            close = page.find(">", start)
+        if close < 0:  # only a comment can still come
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        if m := RAW.match(page, start):
+            end = re.compile(rf"</{m[1]}\s*+>", re.I).search(page, close + 1)
+            at = end.end() if end else len(page)
+            yield start, at, "", False, ""
+        elif m := NAME.match(page, start):
+            at = end_of(m.end())
+            if at >= 0:
+                yield start, at, m[1].lower(), page[start + 1] == "/", page[m.end() : at - 1]
+            else:
+                at = close + 1
+                yield start, at, "", False, ""
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            at = close + 1
+            yield start, at, "", False, ""
+
+
 def blocks(page: str) -> list[BLOCK]:
     """The leaf blocks of a page in order, with references decoded and white space made single."""
     found: list[BLOCK] = []
     stack: list[tuple[str, str]] = []
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
     text: list[str] = []
     linked = links = at = 0
 
@@ -67,7 +126,8 @@ def blocks(page: str) -> list[BLOCK]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                found.append((tuple(s for _, s in stack), whole, min(linked, len(whole))))
+                path = tuple(s for _, s in stack)
+                found.append((paths.setdefault(path, path), whole, min(linked, len(whole))))
         text.clear()
         linked = 0
 
@@ -86,30 +146,28 @@ def blocks(page: str) -> list[BLOCK]:
             if stack[k][0] in until:
                 return
 
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, ends, attributes in tags(page):
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                links = max(0, links + (-1 if m["end"] else 1))
+                links = max(0, links + (-1 if ends else 1))
             continue
         close()
         links = 0
-        if m["end"]:
+        if ends:
             pop((tag,))
             continue
         if tag in CLOSES_P:
             pop(("p",), CLOSES_P - {"p"})
         if tag in SAME:
             pop(SAME[tag], HOLDS)
-        if tag not in VOID and not m["attributes"].endswith("/"):
-            names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m["attributes"]))
+        if tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+            names = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes))
             stack.append((tag, f"{tag} {names.lower()}" if names else tag))
     add(page[at:])
     close()
@@ -132,13 +190,11 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(pages: list[list[BLOCK]]) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each block of the pages, and the pages' offsets in the rows."""
-    flat = [b for p in pages for b in p]
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(np.int64)
+def vectors(flat: list[BLOCK], place: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A row for each block; place: its place in its page, total: the page's number of blocks."""
     x = np.zeros((len(flat), SIZE), np.float32)
     if not flat:
-        return x, offsets
+        return x
     seen: dict[tuple[str, ...], np.ndarray] = {}
     for i, (path, _, _) in enumerate(flat):
         v = seen.get(path)
@@ -163,11 +219,18 @@ def vectors(pages: list[list[BLOCK]]) -> tuple[np.ndarray, np.ndarray]:
     more[:, 1] = np.array([n for *_, n in flat]) / size
     more[:, 2] = share(np.isin(table, [ord(c) for c in ".,;:!?"]))
     more[:, 3] = share((table >= 48) & (table < 58))
-    more[:, 4] = (np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))) / np.maximum(1, np.repeat(np.diff(offsets), np.diff(offsets)))
-    more[:, 5] = np.minimum(1, np.repeat(np.diff(offsets), np.diff(offsets)) / 50)
+    more[:, 4] = place / total
+    more[:, 5] = np.minimum(1, total / 50)
     more[:, 6] = data[at[1:] - 1] == ord(".")
     more[:, 7] = 1
-    return x, offsets
+    return x
+
+
+def of_pages(pages: list[list[BLOCK]]) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each block of the pages, and the pages' offsets in the rows."""
+    size = np.array([len(p) for p in pages], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return vectors([b for p in pages for b in p], np.arange(offsets[-1]) - np.repeat(offsets[:-1], size), np.repeat(size, size)), offsets
 
 
 # The labeller
@@ -192,12 +255,12 @@ class Labeller:
         s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * h], -30, 30)))
         return s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(z[:, 3 * h :])
 
-    def _one_way(self, d: str, x: np.ndarray, keep: np.ndarray, trace: list | None) -> np.ndarray:
-        """Hidden states over padded pages (time, page, feature); keep masks what is there."""
+    def _one_way(self, d: str, x: np.ndarray, keep: np.ndarray, trace: list | None, state: list | None = None) -> np.ndarray:
+        """Hidden states over padded pages (time, page, feature); keep masks what is there. state: what to begin with, replaced by the last one."""
         t, n, _ = x.shape
         zx = (x.reshape(t * n, -1) @ self.p[f"w{d}"] + self.p[f"c{d}"]).reshape(t, n, -1)
         out = np.zeros((t, n, HIDDEN), np.float32)
-        hid, cell = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        hid, cell = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             i, f, o, g = self._gates(zx[k] + hid @ self.p[f"u{d}"])
             m = keep[k][:, None]
@@ -207,6 +270,26 @@ class Labeller:
                 trace.append((k, hid, cell, i, f, o, g, tan, m))
             hid, cell = np.where(m, o * tan, hid), np.where(m, new, cell)
             out[k] = hid
+        if state is not None:
+            state[:] = hid, cell
+        return out
+
+    def _long(self, page: list[BLOCK]) -> np.ndarray:
+        """The labels of a long page, segment by segment: the backward states first, then the others from the page's start."""
+        cuts = range(0, len(page), SEGMENT)
+        states = np.zeros((len(page), HIDDEN), np.float32)
+        out = np.zeros(len(page), bool)
+        for d, order in (("b", reversed(cuts)), ("f", cuts)):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            for a in order:
+                own = page[a : a + SEGMENT]
+                x = vectors(own, np.arange(a, a + len(own)), np.full(len(own), len(page)))
+                found = self._one_way(d, x[:, None], np.ones((len(own), 1), bool), None, state)[:, 0]
+                if d == "b":
+                    states[a : a + len(own)] = found
+                else:
+                    both = np.concatenate([found, states[a : a + len(own)]], 1)
+                    out[a : a + len(own)] = both @ self.p["out"] + x @ self.p["past"] + self.p["bias"] > 0
         return out
 
     def logits(self, x: np.ndarray, keep: np.ndarray, traces: dict | None = None) -> np.ndarray:
@@ -240,7 +323,7 @@ class Labeller:
         return grad
 
     def fit(self, pages: list[tuple[list[BLOCK], list[int]]], rounds: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 6) -> None:
-        x, offsets = vectors([p for p, _ in pages])
+        x, offsets = of_pages([p for p, _ in pages])
         y = np.array([v for _, labels in pages for v in labels], np.float32)
         rng, step = np.random.default_rng(seed), 0
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
@@ -257,17 +340,18 @@ class Labeller:
 
     def label(self, pages: list[list[BLOCK]]) -> list[np.ndarray]:
         """For each page a boolean for each block."""
-        x, offsets = vectors(pages)
-        size = np.diff(offsets)
+        size = np.array([len(p) for p in pages], np.int64)
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        for page in np.flatnonzero(size > SEGMENT).tolist():
+            out[page] = self._long(pages[page])
         order = np.argsort(size, kind="stable")
-        order = order[size[order] > 0]
+        order = order[(size[order] > 0) & (size[order] <= SEGMENT)]
         a = 0
         while a < len(order):
             b = a + 1
-            while b < len(order) and size[order[b]] * (b + 1 - a) <= 8192:
+            while b < len(order) and size[order[b]] * (b + 1 - a) <= 2 * SEGMENT:
                 b += 1
-            px, keep, _ = padded(x, offsets, order[a:b], None)
+            px, keep, _ = padded(*of_pages([pages[k] for k in order[a:b].tolist()]), np.arange(b - a), None)
             z = self.logits(px, keep)
             for k, page in enumerate(order[a:b].tolist()):
                 out[page] = z[: size[page], k] > 0

@@ -1,5 +1,7 @@
 """HTML extraction: the block reader by cases, the labeller's gradients, and accuracy on pages held out."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -20,6 +22,10 @@ from quarry.llm import html
         ("a &lt;p&gt; b &#233; &unknown; c", ["a <p> b é &unknown; c"]),
         ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]),
         ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+        ("<p>a<a href=\"x>b</a>c</p><p title='>'>d", ["abc", "d"]),
+        ("<p>one</p>two <b three", ["one", "two <b three"]),
+        ("<p>one <b <!-- no > --> two", ["one --> two"]),
+        ("<p>a</p><SCRIPT src='x>'>no</Script ><p>b<!doctype no><?no?></p>", ["a", "b"]),
     ],
 )
 def test_blocks(page, want):
@@ -31,6 +37,26 @@ def test_paths():
     assert path == ("body", "div side bar x", "p") and linked == 4
 
 
+@pytest.mark.parametrize("piece", ['<a href="', "<script", "<a \"> \"", "<a<a", "<!-", "<div>", "<p>x</p>", "<li><div>", "</x>", "<a '\">", "<p class='a'>x<b "])
+def test_time_is_in_proportion_to_length(piece):
+    def took(n):
+        page = piece * (n // len(piece)) + "'"
+        began = time.perf_counter()
+        html.blocks(page)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(400_000) < 5  # a hundredth of what it is if time grows with the square
+
+
+def test_long_pages_are_labelled_as_whole_ones(model, monkeypatch):
+    rng = np.random.default_rng(5)
+    pages = [html.made_up(rng)[0] for _ in range(12)]
+    want = model.label(pages)
+    monkeypatch.setattr(html, "SEGMENT", 7)
+    assert all((a == b).all() for a, b in zip(model.label(pages), want, strict=True))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = html.Labeller()
