@@ -1,23 +1,32 @@
 """Similarity join on word shingles by chosen paths.
 
 Documents are sets of five-word shingles; two documents are linked if their
-Jaccard similarity is at least `similarity`. Each set samples tokens by a shared
-random order: the shingles whose hash lies under a threshold in inverse
-proportion to the set's size, so that similar sets sample mostly the same ones.
-A run takes 1 / similarity tokens on average, and there are as many runs as the
-target recall asks for.
-
-A path is a rising sequence of sampled tokens. Sets are split by the first
-tokens of their samples; a bucket of over `small` sets is split again by the
-tokens that follow, unless that hardly separates them. A pair belongs to the one
-bucket whose path is the pair's least shared tokens, so that it is looked at
-once. Small buckets are compared by brute force, large ones that can't be split
-in square tiles, each a task's work of a bounded size. Comparisons take three
-steps: sizes and samples first; then only sets with a likely partner send their
-shingles, to the buckets of those partners; then exact similarities.
+Jaccard similarity is at least `similarity`. In each of several independent runs
+every set chooses the tokens (shingles) that come first in the run's own random
+order, 1 / similarity of them rounded up, and sets of one token are a bucket. A
+bucket of over `small` sets is split by more tokens that its sets share, taken in
+rising order from a sample that each set keeps (the shingles whose hash lies
+under a threshold in inverse proportion to its size, so that similar sets sample
+mostly the same ones); its parts are split in turn, as long as that pays, to any
+depth. The tokens on the way are the bucket's path. Small buckets are compared by
+brute force, large ones that can't be split in square tiles, each a task's work
+of a bounded size.
+
+A pair belongs to one path: the first token that both chose, by run, and then
+their least shared sampled tokens. There it is compared in three steps: sizes and
+samples first; then only sets with a likely partner send their shingles, to the
+buckets of those partners; then exact similarities.
+
+`recall` is the share of the pairs at exactly the similarity that is found at
+least; closer ones are missed less. Half of what may be missed sets the number of
+runs (a run misses a pair with a probability of at most (1 - similarity) to the
+power of the tokens it chooses), a quarter how many tokens each split follows, and
+a quarter how many tokens of the samples have to agree.
 
 Documents of one shingle set are one set with a count, and classes are the
 connected components of the links, by label propagation with pointer jumping.
+One document of a class stays in `distinct`: of its least doc_id, and where
+that has several texts in the class, the one of the least digest.
 
 Words are runs of letters and digits with A-Z lower-cased; all characters beyond
 ASCII count as letters. Defined cases: texts of one to four words are one
@@ -43,39 +52,82 @@ from quarry.llm.decontamination import words_of
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99999
-FIRST = 6  # tokens of a sample that open buckets, and that follow a token on a path
 SMALL = 64
 TILE = 1024
-SKETCH = 32  # tokens that a sample has on average
-SKETCH_CUT = 0.5  # of the larger sample that a pair must share to be compared exactly
+SKETCH = 32  # tokens that a sample has on average, at least
+LEVELS = 4  # splits after which a pair's recall is still as wanted
 SEED = np.uint64(0x5851F42D4C957F2D)
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    """Runs of 1 / similarity sampled tokens each until a pair at the similarity shares a token with the target probability."""
-    once = 1 - math.exp(-1.0)  # a run's samples of a pair share 1 token on average
-    return math.ceil(math.log(1 - recall) / math.log(1 - once))
+class Plan:
+    """What the recall asks for at a similarity."""
 
+    def __init__(self, similarity: float, recall: float) -> None:
+        if not (0 < similarity <= 1 and 0 < recall < 1):
+            raise ValueError("similarity has to be over 0 and at most 1, and recall between 0 and 1")
+        self.similarity, missed = similarity, 1 - recall
+        miss = max(1 - similarity, 1e-9)  # the probability that a token of one set is not in the other, at most
+        self.chosen = math.ceil(1 / similarity)
+        self.runs = max(1, math.ceil(math.log(missed / 2) / (self.chosen * math.log(miss))))
+        self.follow = max(1, math.ceil(math.log(missed / 8 / LEVELS) / math.log(miss)))
+        self.sample = max(SKETCH, 4 * self.follow)
+        self.agree = np.array([self._agreeing(n, missed / 4) for n in range(2 * self.sample + 1)])
 
-def sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, digest (of the text), sig (of the shingle set), size and the sampled tokens in rising order, of every row."""
-    sample = max(SKETCH, runs_for(RECALL, SIMILARITY) / SIMILARITY)
+    def _agreeing(self, n: int, missed: float) -> int:
+        """The most tokens that a pair at the similarity shares, of n of the larger set, with all but that probability."""
+        total = 0.0
+        for k in range(n + 1):
+            total += math.comb(n, k) * self.similarity**k * (1 - self.similarity) ** (n - k)
+            if total > missed:
+                return k
+        return n
+
+    def enough(self, n: np.ndarray) -> np.ndarray:
+        """Tokens that have to agree of n; beyond the table in proportion to its end."""
+        last = len(self.agree) - 1
+        return np.where(n <= last, self.agree[np.minimum(n, last)], n * (self.agree[last] / last))
+
+
+def sets(docs: DataFrame, plan: Plan, k: int = WORDS) -> DataFrame:
+    """doc_id, digest (of the text), sig (of the shingle set), size, the tokens chosen (by run, then rising) and the sampled ones in rising order, of every row."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, "text"):
-            out: dict[str, list] = {"sig": [], "size": [], "tokens": []}
-            for x in shingle_sets(b.column("text"), k):
+            own = list(shingle_sets(b.column("text"), k))
+            sig, tokens = [], []
+            for x in own:
                 r = mix(x ^ SEED) >> np.uint64(1)
-                chosen = np.sort(r[r < np.uint64(min(2**63 - 1, int(sample / max(1, len(x)) * 2**63)))]) if len(x) > sample else np.sort(r)
-                out["sig"].append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                out["size"].append(len(x))
-                out["tokens"].append(chosen.astype(np.int64))
+                tokens.append(np.sort(r[r < np.uint64(min(2**63 - 1, int(plan.sample / max(1, len(x)) * 2**63)))] if len(x) > plan.sample else r).astype(np.int64))
+                sig.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+            size = [len(x) for x in own]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("digest"), pa.array(out["sig"], pa.binary()), pa.array(out["size"], pa.int32()), pa.array(out["tokens"], pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "sig", "size", "tokens"],
+                [b.column("doc_id"), b.column("digest"), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(choose(own, plan), _LIST), pa.array(tokens, _LIST)],
+                names=["doc_id", "digest", "sig", "size", "opens", "tokens"],
             )
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(look, "doc_id long, digest binary, sig binary, size int, tokens array<bigint>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(look, "doc_id long, digest binary, sig binary, size int, opens array<bigint>, tokens array<bigint>")
+
+
+def choose(own: list[np.ndarray], plan: Plan) -> list[np.ndarray]:
+    """For each set the tokens that come first in each run's order, as numbers that rise with the run and the order in it."""
+    size = np.array([len(x) for x in own])
+    there = np.flatnonzero(size)
+    out = np.full((len(own), plan.runs * plan.chosen), -1, np.int64)
+    if len(there):
+        whole = np.concatenate([own[i] for i in there])
+        first = np.cumsum(size[there]) - size[there]
+        bits = max(1, (plan.runs - 1).bit_length())
+        for r in range(plan.runs):
+            order = mix(whole ^ mix(SEED + np.arange(1, dtype=np.uint64) + np.uint64(r + 1))) >> np.uint64(1 + bits)
+            for c in range(plan.chosen):
+                least = np.minimum.reduceat(order, first)
+                found = least < NONE
+                out[there[found], r * plan.chosen + c] = (np.uint64(r) << np.uint64(63 - bits) | least[found]).astype(np.int64)
+                order[order == np.repeat(least, size[there])] = NONE
+    return [row[row >= 0] for row in out]
+
+
+NONE = np.uint64(2**64 - 1)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -86,34 +138,33 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield np.unique(value[at[i] : at[i + 1]])
 
 
-def paths(kinds: DataFrame, small: int, first: int) -> DataFrame:
-    """The buckets: path, m (sets in it), and for each of them sig, size, tokens and copies."""
-    # Tokens at places 0 to first - 1 open a path; a sample's later tokens can follow.
-    rows = kinds.select("sig", F.posexplode(F.slice("tokens", 1, first)).alias("place", "token"))
+def paths(kinds: DataFrame, small: int, plan: Plan) -> DataFrame:
+    """The buckets: path, ended, m (sets in it), and for each of them sig, size, tokens chosen and sampled, and copies.
+
+    A bucket that ended holds those sets of a split one that are too small to share more tokens than its path has.
+    """
+    rows = kinds.select("sig", F.explode("opens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = cut(rows.join(counts, "token"))
-    one = shared.where(F.col("m") <= small).select(F.array("token").alias("path"), "m", "sig")
-    large = shared.where(F.col("m") > small)
-    if large.isEmpty():
-        found = one
-    else:
-        next_ = (
-            large.join(kinds.select("sig", "tokens"), "sig")
-            .select("sig", "token", "m", F.posexplode(F.expr(f"slice(tokens, place + 2, {first})")).alias("step", "second"))
-            .drop("step")
-        )
-        pairs = next_.groupBy("token", "second").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+    level = cut(rows.join(counts, "token").select(F.array("token").alias("path"), "m", "sig"))
+    here = ("path", "ended", "m", "sig")
+    found = level.where(F.col("m") <= small).withColumn("ended", F.lit(False)).select(*here)
+    while not (large := level.where(F.col("m") > small)).isEmpty():
+        depth = F.size("path") - 1
+        sampled = F.when(depth == 0, F.col("tokens")).otherwise(F.filter("tokens", lambda t: t > F.element_at("path", -1)))
+        more = large.join(kinds.select("sig", "tokens"), "sig").select("sig", "path", "m", F.explode(F.slice(sampled, 1, plan.follow)).alias("next"))
+        parts = more.groupBy("path", "next").agg(F.count("*").alias("n"), F.first("m").alias("m"))
         # Splitting a bucket pays if the squares of its parts are well under the square of the whole.
-        work = pairs.groupBy("token").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("parts"), F.first("m").alias("whole"))
-        pays = cut(work.select("token", (F.col("parts") < 0.5 * F.col("whole").cast("double") * F.col("whole")).alias("pays")))
-        kept = large.join(pays.where(~F.col("pays")).select("token"), "token").select(F.array("token").alias("path"), "m", "sig")
-        parts = (
-            next_.drop("m").join(pays.where("pays").select("token"), "token")
-            .join(pairs.where("n > 1").select("token", "second", "n"), ["token", "second"])
-            .select(F.array("token", "second").alias("path"), F.col("n").alias("m"), "sig")
-        )
-        found = one.unionByName(kept).unionByName(parts)
-    return found.join(kinds.select("sig", "size", "tokens", "copies"), "sig")
+        work = parts.groupBy("path").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("parts"), F.first("m").alias("whole"))
+        pays = cut(work.where(F.col("parts") < 0.5 * F.col("whole").cast("double") * F.col("whole")).select("path"))
+        split = large.join(pays, "path", "left_semi")
+        found = found.unionByName(large.join(pays, "path", "left_anti").withColumn("ended", F.lit(False)).select(*here))
+        over = split.join(kinds.select("sig", "size"), "sig").where((depth > 0) & (plan.similarity * F.col("size") <= depth))
+        ended = over.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        found = found.unionByName(over.join(ended, "path").select("path", F.lit(True).alias("ended"), F.col("n").alias("m"), "sig"))
+        level = more.drop("m").join(pays, "path", "left_semi").join(parts.where("n > 1").select("path", "next", "n"), ["path", "next"])
+        level = cut(level.select(F.concat("path", F.array("next")).alias("path"), F.col("n").alias("m"), "sig"))
+        found = cut(found.unionByName(level.where(F.col("m") <= small).withColumn("ended", F.lit(False)).select(*here)))
+    return found.join(kinds.select("sig", "size", "opens", "tokens", "copies"), "sig")
 
 
 def tiled(buckets: DataFrame, tile: int) -> DataFrame:
@@ -153,28 +204,27 @@ def common(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def likely(path: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], own: np.ndarray, ti: int, tj: int, similarity: float) -> np.ndarray:
-    """Pairs of a tile that belong to this path, with sizes and samples that allow the similarity: a symmetric boolean matrix."""
-    if len(tokens) == 2:  # most buckets
-        a, b = tokens
-        small, large = sorted((int(sizes[0]), int(sizes[1])))
-        if small < similarity * large or (ti != tj and own[0] == own[1]):
-            return np.zeros((2, 2), bool)
-        shared = np.intersect1d(a, b, assume_unique=True)
-        ok = int((shared <= path[-1]).sum()) == len(path) and len(shared) >= SKETCH_CUT * min(len(a), len(b))
-        return np.array([[False, ok], [ok, False]])
-    ok = np.minimum.outer(sizes, sizes) >= similarity * np.maximum.outer(sizes, sizes)
+def likely(rows: list[tuple], plan: Plan) -> np.ndarray:
+    """Pairs of a tile (rows as in BUCKET) that belong to its path, with sizes and samples that allow the similarity: a symmetric boolean matrix."""
+    path, ended, ti, tj = rows[0][:4]
+    sizes, own = np.array([r[6] for r in rows]), np.array([r[4] for r in rows])
+    opens, tokens = ([np.array(r[c], np.int64) for r in rows] for c in (7, 8))
+    ok = np.minimum.outer(sizes, sizes) >= plan.similarity * np.maximum.outer(sizes, sizes)
     if ti != tj:
         ok &= own[:, None] != own[None, :]
     np.fill_diagonal(ok, False)
-    ok &= common([t[t <= path[-1]] for t in tokens]) == len(path)
-    # The larger set has the lower threshold: of its sample, enough must be in the other's.
-    n = np.array([len(t) for t in tokens])
-    ok &= common(tokens) >= SKETCH_CUT * np.minimum.outer(n, n)
+    if ok.any():
+        ok &= common([t[t <= path[0]] for t in opens]) == 1  # no run before this one has both, nor a token before this one
+    if len(path) > 1 and ok.any():
+        ok &= common(tokens if ended else [t[t <= path[-1]] for t in tokens]) == len(path) - 1
+    if ok.any():
+        # The larger set has the lower threshold: of its sample, enough must be in the other's.
+        n = np.array([len(t) for t in tokens])
+        ok &= common(tokens) >= plan.enough(np.minimum.outer(n, n))
     return ok
 
 
-BUCKET = ("path", "ti", "tj", "own", "sig", "size", "tokens", "copies")
+BUCKET = ("path", "ended", "ti", "tj", "own", "sig", "size", "opens", "tokens", "copies")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], key: int) -> Iterator[list[tuple]]:
@@ -197,66 +247,66 @@ def unique_rows(rows: list[tuple], at: int) -> list[tuple]:
     return [r for _, r in sorted({r[at]: r for r in rows}.items())]
 
 
-def links(docs: DataFrame, kinds: DataFrame, similarity: float, small: int, tile: int, first: int, k: int) -> DataFrame:
+def links(docs: DataFrame, kinds: DataFrame, plan: Plan, small: int, tile: int, k: int) -> DataFrame:
     """For each tile of a bucket and each set with links there: sig, n (documents linked) and root (a set of the same component)."""
     parts = shuffle_partitions(docs.sparkSession)
 
     def together(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "path", "ti", "tj").sortWithinPartitions("path", "ti", "tj")
+        return df.repartition(parts, *BUCKET[:4]).sortWithinPartitions(*BUCKET[:4])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in grouped(batches, BUCKET, 3):
-            rows = unique_rows(rows, 4)
+        for rows in grouped(batches, BUCKET, 4):
+            rows = unique_rows(rows, 5)
             if len(rows) > 1:
-                ok = likely(np.array(rows[0][0]), np.array([r[5] for r in rows]), [np.array(r[6], np.int64) for r in rows], np.array([r[3] for r in rows]), rows[0][1], rows[0][2], similarity)
-                out += [(rows[i][4], rows[i][0], rows[i][1], rows[i][2], rows[i][3]) for i in np.flatnonzero(ok.any(1)).tolist()]
+                out += [(rows[i][5], *rows[i][:5]) for i in np.flatnonzero(likely(rows, plan).any(1)).tolist()]
             if len(out) > 2000:
                 yield pa.RecordBatch.from_pydict(dict(zip(ASSIGNED.names, map(list, zip(*out, strict=True)), strict=True)), schema=ASSIGNED)
                 out = []
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(ASSIGNED.names, map(list, zip(*out, strict=True)), strict=True)), schema=ASSIGNED)
 
-    buckets = tiled(paths(kinds, small, first), tile).select(*BUCKET)
-    assigned = cut(together(buckets).mapInArrow(candidates, "sig binary, path array<bigint>, ti int, tj int, own int"))
-    sent = assigned.groupBy("sig").agg(F.collect_list(F.struct("path", "ti", "tj", "own")).alias("to")).join(kinds.select("sig", "digest", "speaker", "size", "tokens", "copies"), "sig")
+    buckets = tiled(paths(kinds, small, plan), tile).select(*BUCKET)
+    assigned = cut(together(buckets).mapInArrow(candidates, "sig binary, path array<bigint>, ended boolean, ti int, tj int, own int"))
+    sent = assigned.groupBy("sig").agg(F.collect_list(F.struct(*BUCKET[:5])).alias("to")).join(kinds.select("sig", "digest", "speaker", "size", "opens", "tokens", "copies"), "sig")
     texts = docs.withColumn("speaker", F.coalesce("doc_id", F.lit(-1))).select("digest", "speaker", "text").join(sent, ["digest", "speaker"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, "text", 1 << 20):
-            rows = zip(*[b.column(c).to_pylist() for c in ("sig", "size", "tokens", "copies", "to")], strict=True)
-            out = [(t["path"], t["ti"], t["tj"], t["own"], sig, size, tokens, copies, x.tobytes()) for (sig, size, tokens, copies, to), x in zip(rows, shingle_sets(b.column("text"), k), strict=True) for t in to]
+            rows = zip(*[b.column(c).to_pylist() for c in ("sig", "size", "opens", "tokens", "copies", "to")], strict=True)
+            out = [(*[t[c] for c in BUCKET[:5]], *own, x.tobytes()) for (*own, to), x in zip(rows, shingle_sets(b.column("text"), k), strict=True) for t in to]
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(SENT.names, map(list, zip(*out, strict=True)), strict=True)), schema=SENT)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in grouped(batches, tuple(SENT.names), 3):
-            rows = unique_rows(rows, 4)
+        for rows in grouped(batches, tuple(SENT.names), 4):
+            rows = unique_rows(rows, 5)
             if len(rows) < 2:
                 continue
-            sizes, copies = np.array([r[5] for r in rows]), np.array([r[7] for r in rows])
-            ok = likely(np.array(rows[0][0]), sizes, [np.array(r[6], np.int64) for r in rows], np.array([r[3] for r in rows]), rows[0][1], rows[0][2], similarity)
+            sizes, copies = np.array([r[6] for r in rows]), np.array([r[9] for r in rows])
+            ok = likely(rows, plan)
             if not ok.any():
                 continue
-            inter = common([np.frombuffer(r[8], np.uint64) for r in rows]).astype(np.float64)
-            ok &= inter >= similarity * (sizes[:, None] + sizes[None, :] - inter) - 1e-9
+            inter = common([np.frombuffer(r[10], np.uint64) for r in rows]).astype(np.float64)
+            ok &= inter >= plan.similarity * (sizes[:, None] + sizes[None, :] - inter) - 1e-9
             n = ok @ copies
             root = components(ok)
-            out += [(rows[i][4], int(n[i]), rows[root[i]][4]) for i in np.flatnonzero(n > 0).tolist()]
+            out += [(rows[i][5], int(n[i]), rows[root[i]][5]) for i in np.flatnonzero(n > 0).tolist()]
             if len(out) > 5000:
                 yield pa.RecordBatch.from_pydict(dict(zip(LINKED.names, map(list, zip(*out, strict=True)), strict=True)), schema=LINKED)
                 out = []
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(LINKED.names, map(list, zip(*out, strict=True)), strict=True)), schema=LINKED)
 
-    full = texts.mapInArrow(send, "path array<bigint>, ti int, tj int, own int, sig binary, size int, tokens array<bigint>, copies long, shingles binary")
+    full = texts.mapInArrow(send, "path array<bigint>, ended boolean, ti int, tj int, own int, sig binary, size int, opens array<bigint>, tokens array<bigint>, copies long, shingles binary")
     return cut(together(full).mapInArrow(verify, "sig binary, n long, root binary"))
 
 
 _LIST = pa.list_(pa.int64())
-ASSIGNED = pa.schema([("sig", pa.binary()), ("path", _LIST), ("ti", pa.int32()), ("tj", pa.int32()), ("own", pa.int32())])
-SENT = pa.schema([("path", _LIST), ("ti", pa.int32()), ("tj", pa.int32()), ("own", pa.int32()), ("sig", pa.binary()), ("size", pa.int32()), ("tokens", _LIST), ("copies", pa.int64()), ("shingles", pa.binary())])
+_WHERE = [("path", _LIST), ("ended", pa.bool_()), ("ti", pa.int32()), ("tj", pa.int32()), ("own", pa.int32())]
+ASSIGNED = pa.schema([("sig", pa.binary()), *_WHERE])
+SENT = pa.schema([*_WHERE, ("sig", pa.binary()), ("size", pa.int32()), ("opens", _LIST), ("tokens", _LIST), ("copies", pa.int64()), ("shingles", pa.binary())])
 LINKED = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("root", pa.binary())])
 
 
@@ -287,25 +337,26 @@ def labelled(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, small: int = SMALL, tile: int = TILE, first: int = FIRST) -> DataFrame:
-    """doc_id, digest, class_id (the least doc_id of the class) and n_links (other documents linked directly) of every row (doc_id, text)."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, small: int = SMALL, tile: int = TILE, recall: float = RECALL) -> DataFrame:
+    """doc_id, digest, class_id (the least doc_id of the class), n_links (other documents linked directly) and label (of the class; null without words) of every row (doc_id, text)."""
     prepare(docs.sparkSession)
+    plan = Plan(similarity, recall)
     docs = plain(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    found = cut(sets(docs, k))
+    found = cut(sets(docs, plan, k))
     speaker = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("speaker"), "digest"))
-    kinds = found.where("size > 0").groupBy("sig").agg(F.count("*").alias("copies"), speaker.alias("s"), F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    kinds = cut(kinds.select("sig", "copies", "s.*", "least", "size", "tokens"))
-    linked = links(docs, kinds, similarity, small, tile, first, k)
+    kinds = found.where("size > 0").groupBy("sig").agg(F.count("*").alias("copies"), speaker.alias("s"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "opens", "tokens")])
+    kinds = cut(kinds.select("sig", "copies", "s.*", "least", "size", "opens", "tokens"))
+    linked = links(docs, kinds, plan, small, tile, k)
     labels = labelled(linked.select(F.col("sig").alias("a"), F.col("root").alias("b")))
     known = kinds.select("sig", "copies", "least").join(linked.groupBy("sig").agg(F.sum("n").alias("n")), "sig", "left")
     known = known.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     class_id = cut(known.groupBy("label").agg(F.min("least").alias("class_id")))
-    known = known.join(class_id, "label").select("sig", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    known = known.join(class_id, "label").select("sig", "label", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     rows = found.select("doc_id", "digest", "sig", "size")
     return rows.join(known, "sig", "left").select(
         "doc_id", "digest",
         F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("size") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
+        F.when(F.col("size") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"), "label",
     )
 
 
@@ -314,13 +365,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def distinct(docs: DataFrame) -> DataFrame:
-    """One document of each class (that of the least doc_id), with its own columns. Documents without words all stay."""
+    """One document of each class, with its own columns. Documents without words all stay."""
     own = docs.columns
     decided = cut(classes(docs))
-    kept = decided.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "digest").agg(F.count("*").alias("times"))
+    least = decided.where(F.col("label").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "doc_id", "digest").agg(F.count("*").alias("times"))
+    one = least.groupBy("label").agg(F.min(F.struct("digest", "doc_id", "times")).alias("o")).select("o.*")
+    wordless = decided.where("label IS NULL").select("digest", "doc_id").distinct().withColumn("times", F.lit(1).cast("long"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    kept = one.unionByName(wordless)
     stay = packed.alias("p").join(kept.alias("k"), F.col("p.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("p.digest") == F.col("k.digest"))).select("row", "times", "p.digest", "p.doc_id")
-    empty = F.unhex(F.sha2(F.lit(""), 256))
-    once = stay.where((F.col("times") == 1) | (F.col("digest") == empty))
-    again = stay.where((F.col("times") > 1) & (F.col("digest") != empty)).dropDuplicates(["doc_id", "digest"])  # rows repeated whole
-    return once.select("row.*").unionByName(again.select("row.*"))
+    again = stay.where("times > 1").dropDuplicates(["doc_id", "digest"])  # rows repeated whole
+    return stay.where("times = 1").select("row.*").unionByName(again.select("row.*"))

@@ -95,6 +95,46 @@ def test_repeated_rows_leave_one(spark):
     assert sorted((r.doc_id, r.text) for r in nearjoin.distinct(df).collect()) == [(1, "a b c d e f g"), (2, "")]
 
 
+def test_one_of_several_texts_of_one_id_stays(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = [(1, " ".join(base)), (1, " ".join([*base, "end"])), (2, " ".join(base)), (1, "something else that is of a class of its own"), (3, "...")] + [(4, "...")] * 2
+    got = sorted((r.doc_id, r.text) for r in nearjoin.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [d for d, _ in got] == [1, 1, 3, 4, 4] and (1, rows[3][1]) in got
+
+
+def test_runs_follow_the_recall():
+    plans = [nearjoin.Plan(0.8, r) for r in (0.5, 0.9, 0.999, 0.99999, 0.9999999)]
+    assert [p.runs for p in plans] == sorted(p.runs for p in plans) and plans[0].runs < plans[2].runs < plans[4].runs
+    assert plans[1].agree[32] > plans[3].agree[32] > 8 and nearjoin.Plan(0.5, 0.999).runs > plans[2].runs
+
+
+@pytest.mark.parametrize(("recall", "similarity"), [(0.9, 0.8), (0.999, 0.8), (0.99, 0.5)])
+def test_recall_is_reached(spark, recall, similarity):
+    """Pairs at just the similarity: one text, and one with words more, that share what is asked for and no more."""
+    rnd = random.Random(int(recall * 1000))
+    texts = []
+    for i in range(700):
+        base = [f"{rnd.randrange(10**6)}" for _ in range(64)]
+        more = [f"{rnd.randrange(10**6)}" for _ in range(int(60 / similarity - 60))]
+        texts += [" ".join(base), " ".join(base + more)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nearjoin.classes(df, similarity, recall=recall).where("n_links > 0").count() / 2
+    assert 700 * recall - 3 * (700 * recall * (1 - recall)) ** 0.5 <= found <= 700
+
+
+def test_splits_of_any_depth_lose_nothing(spark):
+    """Sets that share one another's tokens in a tree, so that buckets are split again and again."""
+    rnd = random.Random(2)
+    texts = []
+    for i in range(60):
+        head = [f"h{i % 2}"] * 5 + [f"m{i % 4}"] * 5 + [f"n{i % 8}"] * 6
+        texts.append(" ".join(head + [f"{rnd.randrange(9)}" for _ in range(rnd.randrange(6))]))
+    texts += [f"{t} z" for t in texts[::3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nearjoin.classes(df, small=2, tile=3).collect()}
+    assert got == classes_by_force(texts)
+
+
 # Suffix-array dedup
 
 
