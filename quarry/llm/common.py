@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once; long texts are cut into smaller runs by `runs`.
 ARROW_ROWS = 512
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,9 +38,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, so that neither lost executors nor later reads compute them again."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written to the checkpoint folder, so that neither lost executors nor later reads compute them again.
+
+    The shuffles that made them are not read again, so their files go with the job.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN, was)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
