@@ -73,7 +73,7 @@ def op7_language_id(spark, sf_dir):
 
 @query
 def op10_suffix_dedup(spark, sf_dir):
-    return suffixes.digest(table(spark, sf_dir, "documents"))
+    return suffixes.passages(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -24,7 +24,7 @@ step keeps all that later steps could need:
 
 Defined cases: null texts are empty; texts shorter than `length` lose nothing;
 repeated rows are copies of each other; an empty table gives no rows; `digest`
-ignores other columns and `trim` keeps them.
+and `passages` ignore other columns and `trim` keeps them.
 """
 
 from __future__ import annotations
@@ -331,12 +331,12 @@ def cut_hot(hot: DataFrame, length: int, gram: int, most: int) -> list[DataFrame
 
 
 def spans(docs: DataFrame, length: int = QUERY_LENGTH, gram: int = QUERY_GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """The rows with a digest of their text (`digest`), and for each digest what to remove: n (rows of that text), again and found (runs of window starts)."""
+    """The rows with a digest of their text (`digest`), and for each digest what to remove: rows (of that text), speaker (their least doc_id), again and found (runs of window starts)."""
     if length % PERIOD or not PERIOD <= gram <= length:
         raise ValueError(f"length is a multiple of {PERIOD}, and gram at most as long")
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("").cast(docs.schema["text"].dataType))).withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     scanned = scan(docs, length, gram)
     texts = cut(scanned.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("hashes").alias("hashes"), F.first("again").alias("again")))
     each = texts.select("digest", F.explode("hashes").alias("h"))
@@ -367,7 +367,7 @@ def spans(docs: DataFrame, length: int = QUERY_LENGTH, gram: int = QUERY_GRAM, m
     found = cut(sort_blocks(rows, length))
     parts = [found.where("context IS NULL").select("digest", "s", "e"), *cut_hot(found.where("context IS NOT NULL").select("h", "digest", "a", "lo", "context"), length, gram, most)]
     by_text = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("found"))
-    return docs, texts.select("digest", F.col("n").alias("rows"), "again").join(by_text, "digest", "left")
+    return docs, texts.select("digest", F.col("n").alias("rows"), F.coalesce("doc_id", F.lit(-1)).alias("speaker"), "again").join(by_text, "digest", "left")
 
 
 CONTEXT = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("digest", pa.binary()), ("a", pa.int32()), ("lo", pa.int32()), ("context", pa.binary())])
@@ -390,6 +390,16 @@ def removed(n_bytes: int, rows: int, again: list | None, found: list | None, len
     return out
 
 
+def counted(doc: int, text: bytes, gone: list[tuple[int, int]]) -> tuple:
+    """A row of `digest`."""
+    kept, at = hashlib.sha256(), 0
+    for s, e in gone:
+        kept.update(text[at:s])
+        at = e
+    kept.update(text[at:])
+    return doc, len(text), sum(e - s for s, e in gone), len(gone), kept.hexdigest()
+
+
 def digest(docs: DataFrame, length: int = QUERY_LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     rows, info = spans(plain(docs, "doc_id", "text"), length)
@@ -398,13 +408,7 @@ def digest(docs: DataFrame, length: int = QUERY_LENGTH) -> DataFrame:
         for b in runs(batches, "text"):
             out: list[tuple] = []
             for doc, text, n, again, found in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), *(b.column(c).to_pylist() for c in ("rows", "again", "found")), strict=True):
-                gone = removed(len(text), n, again, found, length)
-                kept, at = hashlib.sha256(), 0
-                for s, e in gone:
-                    kept.update(text[at:s])
-                    at = e
-                kept.update(text[at:])
-                out.append((doc, len(text), sum(e - s for s, e in gone), len(gone), kept.hexdigest()))
+                out.append(counted(doc, text, removed(len(text), n, again, found, length)))
             yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, map(list, zip(*out, strict=True)), strict=True)), schema=OUT)
 
     return rows.join(info, "digest").select("doc_id", "text", "rows", "again", "found").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -413,6 +417,50 @@ def digest(docs: DataFrame, length: int = QUERY_LENGTH) -> DataFrame:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
+def passages(docs: DataFrame, length: int = QUERY_LENGTH, gram: int = QUERY_GRAM, shorter: int = LENGTH, shorter_gram: int = GRAM) -> DataFrame:
+    """`digest`, and n_passage: the bytes of repeated strings of `shorter` bytes.
+
+    Strings of `length` bytes are sought only within those, as all shorter ones in a string that repeats do so too.
+    """
+    rows, info = spans(plain(docs, "doc_id", "text"), shorter, shorter_gram)
+    info = cut(info)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches, "text"):
+            out: dict[str, list] = {"owner": [], "at": [], "text": []}
+            for owner, text, *found in zip(b.column("digest").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), *(b.column(c).to_pylist() for c in ("rows", "again", "found")), strict=True):
+                for s, e in removed(len(text), *found, shorter):
+                    if e - s >= length:
+                        for c, v in zip(out, (owner, s, text[s:e]), strict=True):
+                            out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["owner"], pa.binary()), pa.array(out["at"], pa.int32()), pa.array(out["text"], pa.binary())], names=list(out))
+
+    one_each = rows.withColumn("speaker", F.coalesce("doc_id", F.lit(-1))).join(info, ["digest", "speaker"])
+    pieces = one_each.select("digest", "text", "rows", "again", "found").mapInArrow(take, "owner binary, at int, text binary")
+    inner, inside = spans(cut(pieces.withColumn("doc_id", F.monotonically_increasing_id())), length, gram)
+    parts = inner.select("owner", "at", F.octet_length("text").alias("size"), "digest").join(inside, "digest")
+    parts = parts.groupBy("owner").agg(F.collect_list(F.struct("at", "size", "rows", "again", "found")).alias("parts"))
+    info = info.drop("speaker").join(parts, F.col("digest") == F.col("owner"), "left").drop("owner")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches, "text"):
+            out: list[tuple] = []
+            for doc, text, n, again, found, own in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), *(b.column(c).to_pylist() for c in ("rows", "again", "found", "parts")), strict=True):
+                if n > 1:
+                    gone = removed(len(text), n, None, None, length)
+                else:
+                    gone = sorted((s + x["at"], e + x["at"]) for x in own or [] for s, e in removed(x["size"], x["rows"], x["again"], x["found"], length))
+                wider = sum(e - s for s, e in removed(len(text), n, again, found, shorter))
+                out.append((*counted(doc, text, gone), wider))
+            yield pa.RecordBatch.from_pydict(dict(zip(WIDER.names, map(list, zip(*out, strict=True)), strict=True)), schema=WIDER)
+
+    columns = ("doc_id", "text", "rows", "again", "found", "parts")
+    return rows.join(info, "digest").select(*columns).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
+
+
+WIDER = OUT.append(pa.field("n_passage", pa.int64()))
+
+
 def trim(docs: DataFrame, length: int = QUERY_LENGTH, gram: int = QUERY_GRAM) -> DataFrame:
     """The documents with repeated strings removed from `text`; a character is removed only if all its bytes are."""
     own = docs.columns

@@ -160,6 +160,19 @@ def test_suffix_dedup(docs, texts, monkeypatch, most):
     assert got == dict(enumerate(removed_by_force(texts, 400)))
 
 
+def test_passages_of_both_lengths(spark, docs, texts, none):
+    rnd = random.Random(6)
+    shared = ["".join(rnd.choice("abcdé ") for _ in range(n)) for n in (239, 260, 300, 399, 420, 600, 900)]
+    more = [f"own {i} {shared[i % 7]} between {i} {shared[(i + 1) % 7]} end {i}" for i in range(14)] + [shared[6] * 2, shared[5], shared[5], shared[2], shared[2]]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    ids, both = [*range(len(texts)), *range(1000, 1000 + len(more))], [*texts, *more]
+    got = {r.doc_id: tuple(r)[1:] for r in suffixes.passages(rows).collect()}
+    narrow, wide = removed_by_force(both, 400), removed_by_force(both, 240)
+    assert got == {i: (*n, w[1]) for i, n, w in zip(ids, narrow, wide, strict=True)}
+    assert sum(w[1] > n[1] > 0 for n, w in zip(narrow, wide, strict=True)) > 3
+    assert suffixes.passages(none).count() == 0
+
+
 def test_suffix_edges(spark, none):
     rows = [(1, "x" * 399), (2, "x" * 399), (3, "y" * 400), (4, "z" + "y" * 400), (5, "w" * 401), (6, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
