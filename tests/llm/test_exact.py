@@ -514,43 +514,97 @@ def test_verdicts_do_not_depend_on_how_many_hosts_there_are(spark):
 # Quality
 
 
-def test_model_is_interpolated_modified_kneser_ney(spark, docs, texts):
-    tables = [t.collect() for t in quality.model(quality.count(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))))]
-    top = collections.Counter()
+def tokens(text):
+    """Words as the docstring has them: letters, digits and what is beyond ASCII; East Asian characters alone; runs of other marks."""
+    out, last = [], None
+    for c in (text or ""):
+        c = c.lower() if c.isascii() else c
+        kind = "east" if len(c.encode()) == 3 and 0xE3 <= c.encode()[0] <= 0xED else "word" if not c.isascii() or c.isalnum() else None if ord(c) <= 32 or ord(c) == 127 else "mark"
+        if kind and kind == last and kind != "east":
+            out[-1] += c
+        elif kind:
+            out.append(c)
+        last = kind
+    return out
+
+
+def test_words(texts):
+    import pyarrow as pa
+
+    column = pa.array([*texts, "漢字かなx1漢 한국!!?a", "Ünï-cödé ... ", "\t a\nb  "])
+    words, owner = quality.sequences(column)
+    for i, text in enumerate(column.to_pylist()):
+        own, want = words[owner == i], tokens(text)
+        assert len(own) == (len(want) + 2 if want else 0)
+        if want:
+            assert own[0] == quality.START and own[-1] == quality.END
+            assert len(set(own[1:-1].tolist())) == len(set(want)) and [want.index(w) for w in want] == [own[1:-1].tolist().index(h) for h in own[1:-1].tolist()]
+
+
+def kneser_ney(texts):
+    """P(word, context) of the interpolated modified Kneser-Ney model of pairs, by the book."""
+    c = collections.Counter()
     for t in texts:
-        s = [quality.START] * 3 + [int(quality.SYMBOLS[b]) for b in (t or "").encode()]
-        top.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    counts = {4: top}
-    for n in (3, 2, 1):
-        counts[n] = collections.Counter(k[1:] for k in counts[n + 1])
-    p = {}
-    for n in (1, 2, 3, 4):
-        c, size = counts[n], collections.Counter(counts[n].values())
+        w = ["<s>", *tokens(t), "</s>"]
+        if len(w) > 2:
+            c.update(zip(w[:-1], w[1:], strict=True))
+    before = collections.Counter(w for _, w in c)
+
+    def discounts(counts):
+        size = collections.Counter(counts.values())
         n1, n2, n3, n4 = (size[i] for i in (1, 2, 3, 4))
-        if n1 and n2 and n3 and n4:
-            y = n1 / (n1 + 2 * n2)
-            d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-            d = [min(max(x, 0), i) for i, x in enumerate(d)]
-        else:
-            d = [0, 0.5, 0.75, 0.9]
-        total, off = collections.Counter(), collections.Counter()
-        for k, v in c.items():
-            total[k[:-1]] += v
-            off[k[:-1]] += d[min(v, 3)]
-        for k, v in c.items():
-            lower = p[k[1:]] if n > 1 else 1 / 64
-            p[k] = (v - d[min(v, 3)]) / total[k[:-1]] + off[k[:-1]] / total[k[:-1]] * lower
-        got = {tuple((r.gram >> (6 * (n - 1 - i))) & 63 for i in range(n)): r.p for r in tables[n - 1]}
-        assert got.keys() == c.keys() and all(got[k] == pytest.approx(p[k], rel=1e-9) for k in c)
+        if not (n1 and n2 and n3 and n4):
+            return [0, 0.5, 0.75, 0.9]
+        y = n1 / (n1 + 2 * n2)
+        return [0, *(min(max(x, 0.01), i) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))]
+
+    d, e = discounts(c), discounts(before)
+    total, rest = sum(before.values()), sum(e[min(n, 3)] for n in before.values())
+    all_, off = collections.Counter(), collections.Counter()
+    for (v, _), n in c.items():
+        all_[v] += n
+        off[v] += d[min(n, 3)]
+
+    def p(w, v):
+        low = (before[w] - e[min(before[w], 3)]) / total + rest / total / (len(before) + 1)
+        return (c[v, w] - d[min(c[v, w], 3)]) / all_[v] + off[v] / all_[v] * low if v in all_ else low
+
+    return p
+
+
+@pytest.mark.parametrize(("share", "passes"), [(1e-4, 2), (0.02, 1), (0.02, 3), (2.0, 2)])
+def test_perplexity_is_of_the_interpolated_modified_kneser_ney_model(spark, docs, texts, monkeypatch, share, passes):
+    monkeypatch.setattr(quality, "CHUNK", 4000)
+    monkeypatch.setattr(quality, "MOST", 300)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60)] + [(61, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality.judge(docs, labels, passes=passes, share=share).collect()
+    assert len(rows) == len(texts)
+    held = {r.doc_id for r in rows if r.held_out}
+    assert 3 < len(held) < 30 and held < set(range(60))
+    p = kneser_ney([texts[i] for i in range(60) if i not in held])
+    for r in rows:
+        w = ["<s>", *tokens(texts[r.doc_id]), "</s>"]
+        assert r.n_words == len(w) - 2 and (r.perplexity is None) == (len(w) == 2)
+        if len(w) > 2:
+            bits = sum(np.log2(p(b, a)) for a, b in zip(w[:-1], w[1:], strict=True)) / (len(w) - 1)
+            assert np.log2(r.perplexity) == pytest.approx(-bits, abs=1e-4)
+    worst = max(r.perplexity for r in rows if r.held_out and r.perplexity)
+    assert all(r.threshold == pytest.approx(worst) for r in rows if r.perplexity) and all(r.keep == (r.perplexity is not None and r.perplexity <= r.threshold) for r in rows)
 
 
 def test_quality_cases(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10, 60)] + [(20, 0, 0), (999, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
-    assert len(got) == docs.count() and got[0].perplexity is None and not got[0].keep and not got[1].keep
-    assert sum(got[i].keep for i in range(10, 60)) >= 49
+    plain = docs.select("doc_id", "text", "lang", F.lit("clash").alias("hash"))
+    nameless = plain.where("doc_id IN (1, 16)").withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string")})
+    twice = plain.unionByName(plain.where("doc_id IN (15, 30)")).unionByName(nameless)
+    rows = quality.judge(twice, labels).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == docs.count() + 4 and got[0].perplexity is None and not got[0].keep and not got[1].keep
+    assert len({(r.doc_id, r.perplexity, r.keep) for r in rows if r.doc_id in (15, 30)}) == 2
+    learned = [r for r in rows if r.doc_id is not None and 10 <= r.doc_id < 60]
+    assert sum(r.keep for r in learned) >= 0.95 * len(learned) and sum(r.held_out for r in learned) > 0
     assert quality.judge(none, labels).count() == 0
-    assert all(r.keep == (r.n_symbols > 0) for r in quality.judge(docs, labels.limit(0)).collect())
+    assert all(r.keep == (r.n_words > 0) for r in quality.judge(docs, labels.limit(0)).collect())
 
 
 # Language
