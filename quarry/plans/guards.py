@@ -18,30 +18,98 @@ def bare(sql: str) -> str:
     return _LITERAL.sub(lambda m: " " * len(m[0]), sql)
 
 
+#: Kinds of leaves that read nothing: constants and rows written out.
+_NOTHING = ("OneRowRelation", "UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation")
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """The tables that a query reads, from Spark's parsed plan: all relations but the names of common table expressions where these can be seen.
+
+    Commands, table functions and every leaf that isn't a relation or a constant are refused.
+    """
+    jvm = spark._jvm
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    found: set[str] = set()
+
+    def walk(plan, known: frozenset[str]) -> None:
+        kind = _kind(plan)
+        if command.isInstance(plan):
+            raise PlanError(f"{kind} may not run")
+        if kind == "UnresolvedWith":
+            for entry in _seq(plan.cteRelations()):
+                walk(entry._2(), known)
+                known = known | {entry._1().lower()}
+        children = _seq(plan.children())
+        if kind == "UnresolvedRelation":
+            parts = [p.lower() for p in _seq(plan.multipartIdentifier())]
+            if len(parts) != 1 or parts[0] not in known:
+                found.add(".".join(parts))
+        elif not children and kind not in _NOTHING:
+            raise PlanError(f"{kind} may not be read")
+        for child in [*children, *_seq(plan.subqueries())]:
+            walk(child, known)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
+    return found
+
+
+def _grouped(plan) -> bool:
+    """Whether a plan's own rows are groups: an aggregate with nothing between it and the result that could add rows."""
+    while _kind(plan) in ("Project", "Filter", "Sort", "SubqueryAlias", "GlobalLimit", "LocalLimit", "Distinct", "Offset", "WithCTE"):
+        plan = plan.plan() if _kind(plan) == "WithCTE" else plan.child()
+    return _kind(plan) == "Aggregate"
+
+
+def _own_column(plan, name: str) -> bool:
+    """Whether a result column is a table's own column of that name, not an expression that is called so."""
+    source = {a.exprId().toString() for leaf in _seq(plan.collectLeaves()) for a in _seq(leaf.output()) if a.name().lower() == name.lower()}
+    return any(a.name().lower() == name.lower() and a.exprId().toString() in source for a in _seq(plan.output()))
+
+
+def _combined(plan) -> bool:
+    return _kind(plan) in ("Union", "Intersect", "Except") or any(_combined(c) for c in _seq(plan.children()))
+
+
 def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None, tenant: str | None = None, most: int | None = None) -> DataFrame:
     """A single SELECT over the given tables only, with bound parameters, as a DataFrame.
 
-    The tenant column must be among its columns; a query without an aggregate must be limited.
+    Which tables it reads is told from Spark's parsed plan, so no way of writing them gets around it. The tenant column
+    must be among its columns, as a table's own column, in a query without set operations; a query that is not an
+    aggregate itself is limited. The given tables can be seen by this query alone: views of the same names stay.
     """
     text = bare(sql).strip()
     if ";" in text.rstrip(";") or not re.match(r"(?i)(select|with)\b", text):
         raise PlanError("only one SELECT may run")
     if found := re.search(rf"(?i)\b({'|'.join(BANNED)})\b(?!\s*\.)", text):
         raise PlanError(f"{found[0]!r} may not be used")
-    used = {n.lower() for n in re.findall(r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)", text)}
-    own = {n.lower() for n in re.findall(r"(?i)\b([A-Za-z_]\w*)\s+as\s*\(\s*(?:select|with)\b", text)}
-    if unknown := used - own - {t.lower() for t in tables}:
+    sql = sql.strip().rstrip(";")
+    known = {t.lower(): t for t in tables}
+    used = relations(spark, sql)
+    if unknown := used - known.keys():
         raise PlanError(f"table {sorted(unknown)[0]!r} is not known")
-    for name, df in tables.items():
-        if name.lower() in used:
-            df.createOrReplaceTempView(name)
-    df = spark.sql(sql.rstrip().rstrip(";"), args=args or {})
-    df.schema  # noqa: B018  analysis fails here for unknown columns
-    if tenant and tenant not in df.columns:
+    before = {t: spark.table(t) for t in used if any(v.name.lower() == t and v.isTemporary for v in spark.catalog.listTables())}
+    try:
+        for name in used:
+            tables[known[name]].createOrReplaceTempView(name)
+        df = spark.sql(sql, args=args or {})
+        df.schema  # noqa: B018  analysis fails here for unknown columns
+    finally:
+        for name in used:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+    plan = df._jdf.queryExecution().analyzed()
+    if tenant and (_combined(plan) or not _own_column(plan, tenant)):
         raise PlanError(f"the result lacks the tenant column {tenant!r}")
-    if most is not None and not re.search(r"(?i)\b(group\s+by|count\s*\(|sum\s*\(|avg\s*\(|limit\s+\d+)", text):
-        df = df.limit(most)
-    return df
+    return df if most is None or _grouped(plan) else df.limit(most)
 
 
 def columns(df: DataFrame) -> list[dict]:

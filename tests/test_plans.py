@@ -130,3 +130,54 @@ def test_questions():
     assert plan.metrics == ("order_amount",) and plan.limit == 5 and plan.period == "month" and plan.time == TimeRange("complete_months", count=3)
     with pytest.raises(PlanError):
         questions.plan_for("what is the weather", AS_OF)
+
+
+@pytest.fixture
+def hidden(spark):
+    spark.createDataFrame([(9, "secret")], "id int, v string").createOrReplaceTempView("hidden")
+    yield
+    spark.catalog.dropTempView("hidden")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT t.id FROM t, hidden",
+        "SELECT * FROM t JOIN `hidden`",
+        "SELECT (SELECT count(*) FROM`hidden`) AS n FROM t",
+        "SELECT * FROM `parquet`.`/root/testdata/sf0.001/region.parquet`",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "WITH c AS (SELECT * FROM hidden) SELECT * FROM c",
+        "SELECT * FROM hidden WHERE 1 = (WITH hidden AS (SELECT 1 AS z) SELECT z FROM hidden)",
+        "SELECT id FROM t WHERE EXISTS (SELECT 1 FROM hidden)",
+        "SELECT id FROM t WHERE id IN (SELECT id FROM hidden)",
+        "SELECT * FROM t, LATERAL (SELECT * FROM hidden)",
+        "SELECT * FROM t UNION ALL TABLE hidden",
+        "SELECT * FROM range(5)",
+        "SELECT id FROM t; SELECT 1",
+        "SELECT reflect('java.lang.System', 'getenv') FROM t",
+    ],
+)
+def test_guards_read_only_what_they_are_given(spark, hidden, sql):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    with pytest.raises(PlanError):
+        guards.guarded(spark, sql, {"t": t})
+
+
+def test_guards_scope_and_limits(spark, hidden):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    spark.createDataFrame([(7,)], "mine int").createOrReplaceTempView("t")
+    run = lambda sql, **k: sorted(map(tuple, guards.guarded(spark, sql, {"t": t}, **k).collect()))
+    assert run("WITH c AS (SELECT * FROM t), d AS (SELECT * FROM c) SELECT id FROM d") == [(1,), (2,)]
+    assert run("SELECT id FROM t ORDER BY id;") == [(1,), (2,)] and run("SELECT 1 AS x") == [(1,)]
+    assert spark.table("t").columns == ["mine"]  # the caller's view is still there
+    spark.catalog.dropTempView("t")
+    guards.guarded(spark, "SELECT id FROM t", {"t": t})
+    assert not spark.catalog.tableExists("t")
+    # A limit holds but for queries that are aggregates themselves, and the tenant's column is the table's.
+    assert len(run("SELECT id, (SELECT count(*) FROM t) AS n FROM t", most=1)) == 1
+    assert len(run("SELECT v, count(*) AS n FROM t GROUP BY v ORDER BY v", most=1)) == 2
+    assert run("SELECT v, count(*) AS n FROM t GROUP BY v", tenant="v") == [("a", 1), ("b", 1)]
+    for sql in ("SELECT id, 'a' AS v FROM t", "SELECT id FROM t", "SELECT id, v FROM t UNION ALL SELECT id, 'x' FROM t"):
+        with pytest.raises(PlanError):
+            run(sql, tenant="v")
