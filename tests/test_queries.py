@@ -72,3 +72,13 @@ def test_greedy_assignment_keeps_every_line(spark, sf_dir):
     assert collections.Counter((r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey) for r in got) == want
     assert len({(r.l_orderkey, r.clue) for r in got}) == len({(r.l_orderkey, r.line) for r in got}) == len(got)
     assert len({k[:2] for k in want}) < len(got)
+
+
+def test_the_core_stands_alone():
+    """Nothing outside the subpackage `llm` imports it."""
+    from pathlib import Path
+
+    root = Path(queries.__file__).parents[1]
+    for f in [*root.rglob("*.py")]:
+        if f.relative_to(root).parts[0] != "llm":
+            assert "quarry.llm" not in f.read_text(), f
