@@ -1,14 +1,13 @@
-"""Text functions as Column expressions; the few that need a parser are Arrow-batched pandas functions over distinct values."""
+"""Text functions as Column expressions; what Spark has no function for is an Arrow-batched pandas function."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import StringType
 
 from quarry.functions import constants as k
 
@@ -19,10 +18,73 @@ def alias(c: Column) -> Column:
 
 
 def unit_text(c: Column) -> Column:
-    """A unit's name in one spelling: superscripts, micro and full-width signs, per-hour forms."""
-    c = F.translate(c, k.UNIT_FROM, k.UNIT_TO)
-    c = F.regexp_replace(F.lower(F.trim(c)), r"\s+", "")
-    return F.regexp_replace(c, r"(per|/)h(ou)?r?$", "/h")
+    """A unit's name in one spelling: superscripts, micro, degree and full-width signs, per-hour forms, without words like `about`."""
+    c = F.regexp_replace(F.lower(F.translate(c, k.UNIT_FROM, k.UNIT_TO)), r"\s+", "")
+    c = F.regexp_replace(c, k.ABOUT, "")
+    c = F.regexp_replace(F.regexp_replace(c, "/?每小时|/小时", "/h"), r"(per|/)h(ou)?r?$", "/h")
+    c = F.regexp_replace(c, "/+", "/")
+    return F.when(c == "米", "m").when(c == "℃c", "℃").otherwise(c)
+
+
+#: A number, what can't be in a unit, and a unit: 2 and 3 may stand in it, but not first.
+_NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
+_STOP = r"0-9,;+<()\[【\s~～至到\-"
+_UNIT = rf"(?:[^{_STOP}](?:[^{_STOP}]|[23])*)?"
+_MEASURE = rf"^\s*({_NUMBER})\s*({_UNIT})(?:\s*[-~～至到]\s*({_NUMBER})\s*({_UNIT}))?\s*(.*)$"
+
+
+def measure(c: Column, aliases: Column) -> Column:
+    """A number or range with its unit, told by known names of units, and what follows it.
+
+    aliases: map<string, struct<canonical, display>> by names as `unit_text` spells them; a few hundred entries of a
+    dictionary at most. A struct(kind, value, low, high, unit_raw, unit, text, rest, field, field_value, warnings): kind
+    is range, number or none (no number first, a second decimal point, or a sentence in place of a unit); a unit that
+    begins with the longest known name is cut there unless a Latin letter follows; `field` and `field_value` part a name
+    and a number in what is left.
+    """
+    given = lambda x: F.nullif(x, F.lit(""))
+    split = r"^([^0-9.,;:：+()<>【】\[\]\s]+)\s*([+-]?[0-9.].*)$"
+
+    def parts(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, _MEASURE, i)
+        unit = F.when((part(3) != "") & (part(4) != ""), part(4)).otherwise(part(2))
+        return F.struct(t.alias("t"), t.rlike(_MEASURE).alias("ok"), part(1).alias("first"), part(3).alias("second"), unit.alias("unit"), part(5).alias("rest"))
+
+    def cut(p: Column) -> Column:
+        """The unit cut after the longest known name that it begins with, and the rest with what was cut off."""
+        unit = p["unit"]
+        known = F.filter(F.sequence(F.lit(1), F.greatest(F.length(unit), F.lit(1))), lambda n: F.map_contains_key(aliases, unit_text(F.substring(unit, F.lit(1), n))))
+        most = F.coalesce(F.array_max(known), F.lit(0))
+        return let(most, lambda m: F.when((m > 0) & (m < F.length(unit)) & ~F.substring(unit, m + 1, F.length(unit)).rlike(r"^\s*[A-Za-z]"), m).otherwise(F.length(unit)))
+
+    def told(p: Column, n: Column) -> Column:
+        raw = F.trim(F.regexp_replace(F.left(p["unit"], n), k.ABOUT, ""))
+        rest = F.concat(F.substring(p["unit"], n + 1, F.length(p["unit"])), p["rest"])
+        rest = F.regexp_replace(F.regexp_replace(rest, r"^[,;、。+<(\s]+", ""), r"[)>】\],、。;\s]+$", "")
+        return F.struct(raw.alias("raw"), rest.alias("rest"), F.try_element_at(aliases, unit_text(raw)).alias("entry"))
+
+    def result(p: Column, u: Column) -> Column:
+        raw, rest, is_range = u["raw"], u["rest"], p["second"] != ""
+        sentence = raw.contains("的") | (F.length(F.regexp_replace(raw, r"[^\x{4E00}-\x{9FFF}]", "")) > 4)
+        bad = ~p["ok"] | sentence | raw.startswith(".") | rest.rlike(r"^\.[0-9]")
+        a, b = p["first"].try_cast("double"), p["second"].try_cast("double")
+        warnings = F.array_compact(F.array(F.when((raw != "") & u["entry"].isNull(), "unit_alias_no_match"), F.when(raw == "", "unit_missing"), F.when(rest != "", "number_unit_trailing_text")))
+        return let(bad, lambda bad: F.struct(
+            F.when(bad, "none").when(is_range, "range").otherwise("number").alias("kind"),
+            F.when(~bad & ~is_range, a).alias("value"), F.when(~bad & is_range, F.least(a, b)).alias("low"), F.when(~bad & is_range, F.greatest(a, b)).alias("high"),
+            F.when(~bad, given(raw)).alias("unit_raw"), F.when(~bad, u["entry"]["canonical"]).alias("unit"),
+            F.when(bad, F.trim(c)).otherwise(F.concat_ws(" ", F.concat_ws("-", p["first"], given(p["second"])), given(F.coalesce(u["entry"]["display"], u["entry"]["canonical"], raw)))).alias("text"),
+            F.when(~bad, given(rest)).alias("rest"), F.when(~bad, given(F.regexp_extract(rest, split, 1))).alias("field"), F.when(~bad, given(F.regexp_extract(rest, split, 2))).alias("field_value"),
+            F.when(bad, F.array(F.lit("number_unit_parse_failed"))).otherwise(warnings).alias("warnings"),
+        ))
+
+    t = F.translate(F.trim(c), "，（）－—–", ",()---")
+    return F.when(c.isNotNull(), let(parts(t), lambda p: let(cut(p), lambda n: let(told(p, n), lambda u: result(p, u)))))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def number_unit(c: Column) -> Column:
@@ -79,6 +141,13 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) >= 2), numbers))
 
 
+def question_tokens(c: Column) -> Column:
+    """Words with the number at their end, numbers, runs of Chinese characters and each two of these that are neighbours; distinct."""
+    found = F.regexp_extract_all(c, F.lit(r"([A-Za-z]+[0-9]*|[0-9]+|[\x{4E00}-\x{9FA5}]{2,})"), F.lit(1))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"^[\x{4E00}-\x{9FA5}]"), F.concat(F.array(w), pairs(w))).otherwise(F.array(w)))))
+
+
 def bigrams(c: Column) -> Column:
     n = F.length(c)
     return F.when(n < 2, F.array()).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
@@ -139,33 +208,26 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf(IntegerType())
-def quantity(s: pd.Series) -> pd.Series:
-    """A count in digits or in Chinese numerals up to the thousands."""
-    digits = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"两": 2}
-    units = {"十": 10, "百": 100, "千": 1000}
+def quantity(c: Column) -> Column:
+    """A count in digits or in Chinese numerals up to the thousands, with or without a counter; null for what is neither."""
+    t = F.regexp_replace(F.translate(c, k.WIDE_FROM, k.WIDE_TO), r"\s+", "")
+    digits = F.regexp_extract(t, rf"(?i)^([0-9]+)(?:{k.COUNTERS})?$", 1)
+    numeral = F.regexp_extract(t, rf"(?i)^([{''.join(k.CHINESE_DIGITS)}{''.join(k.CHINESE_STEPS)}]+)(?:{k.COUNTERS})?$", 1)
+    map_of = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    worth, steps = map_of(k.CHINESE_DIGITS), map_of(k.CHINESE_STEPS)
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("last"))
 
-    def read(v: str | None):
-        if v is None:
-            return None
-        v = unicodedata.normalize("NFKC", v)
-        if m := re.match(r"\s*(\d+)", v):
-            return int(m[1])
-        total, last, seen = 0, 0, False
-        for c in v.strip():
-            if c in digits:
-                last, seen = digits[c], True
-            elif c in units:
-                total, last, seen = total + (last or 1) * units[c], 0, True
-            else:
-                break
-        return total + last if seen else None
+    def read(s: Column, x: Column) -> Column:
+        step = F.try_element_at(steps, x)
+        more = F.when(s["last"] == 0, 1).otherwise(s["last"]) * step
+        return F.when(step.isNotNull(), F.struct((s["total"] + more).alias("total"), F.lit(0).alias("last"))).otherwise(F.struct(s["total"].alias("total"), F.try_element_at(worth, x).alias("last")))
 
-    return s.map(read).astype("Int32")
+    sum_ = F.aggregate(F.filter(F.split(numeral, ""), lambda x: x != ""), start, read, lambda s: s["total"] + s["last"])
+    return F.when(digits != "", digits.try_cast("int")).when(numeral != "", sum_)
 
 
-@F.pandas_udf(StringType())
-def without_literals(s: pd.Series) -> pd.Series:
-    """SQL text with comments and literals blanked, of the same length."""
-    pattern = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S)
-    return s.map(lambda v: None if v is None else pattern.sub(lambda m: " " * len(m[0]), v))
+def without_literals(c: Column) -> Column:
+    """SQL text with comments and literals blanked, of the same length: each other piece is kept, each such piece is as many spaces."""
+    blank = r"--[^\n]*|/\*(?s:.*?)\*/|'(?:[^']|'')*'"
+    pieces = F.regexp_extract_all(c, F.lit(rf"({blank}|(?s:.))"), F.lit(1))
+    return F.when(c.isNotNull(), F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) > 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), ""))

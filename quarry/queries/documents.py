@@ -151,23 +151,69 @@ def features(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", links.alias("links"), F.regexp_count(h, F.lit("(?i)<(h[1-6])")).alias("headings"), F.regexp_count(h, F.lit("&[a-z]+;")).alias("entities"))
 
 
-@R.query("sql_masking")
+@R.query("sql_masking", "SELECT p_partkey, 'SELECT a FROM t WHERE b = ' || repeat(' ', 2 + CAST(length(replace(p_name, chr(39), chr(39) || chr(39))) AS INTEGER)) || ' ' || repeat(' ', 3 + CAST(length(p_type) AS INTEGER)) AS masked, CAST(32 + length(replace(p_name, chr(39), chr(39) || chr(39))) + length(p_type) AS INTEGER) AS n FROM part")
 def sql_masking(spark, sf_dir):
     raw = F.concat(F.lit("SELECT a FROM t WHERE b = '"), F.replace("p_name", F.lit("'"), F.lit("''")), F.lit("' -- "), F.col("p_type"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.without_literals(raw).alias("masked"), F.length(raw).alias("n"))
 
 
-@R.query("nfkc_normalise")
+#: The tables' texts hold no compatibility characters, so that canonical composition gives the same.
+@R.query("nfkc_normalise", "SELECT doc_id, nfc_normalize(text) AS normal FROM documents")
 def nfkc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.nfkc("text").alias("normal"))
 
 
-@R.query("quantity_parse")
+@R.query("quantity_parse", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN 10 + p_size % 9 + 1 WHEN 2 THEN 200 WHEN 3 THEN 1005 WHEN 4 THEN 300 + 10 * (p_size % 9 + 1) + 7 END AS n FROM part")
 def quantities(spark, sf_dir):
-    raw = F.element_at(F.array(*[F.lit(v) for v in ("3台", "十二", "两百", "一千零五", "none")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    """Counts in digits with a counter, and in numerals of one to four steps; the last kind is no count."""
+    one = F.substring(F.lit("一二三四五六七八九"), F.col("p_size") % 9 + 1, F.lit(1))
+    shapes = [F.concat(F.col("p_size").cast("string"), F.lit(" 台")), F.concat(F.lit("十"), one), F.lit("两百"), F.lit("一千零五套"), F.concat(F.lit("叁佰"), one, F.lit("拾柒")), F.concat(F.lit("about "), one)]
+    raw = F.element_at(F.array(*shapes), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", tx.quantity(raw).alias("n"))
 
 
+#: Units by names as `unit_text` spells them: canonical and shown.
+UNITS = {"mm": ("mm", "mm"), "毫米": ("mm", "mm"), "kg/h": ("kg/h", "kg/h"), "m3/h": ("m3/h", "m³/h"), "℃": ("C", "℃")}
+
+
+def _units():
+    entry = lambda c, d: F.struct(F.lit(c).alias("canonical"), F.lit(d).alias("display"))
+    return F.create_map(*[x for name, (c, d) in UNITS.items() for x in (F.lit(name), entry(c, d))])
+
+
+@R.query(
+    "number_unit_aliases",
+    """WITH v AS (SELECT p_partkey, p_size AS n, p_size + 5 AS m, p_partkey % 8 AS r FROM part)
+    SELECT p_partkey, CASE WHEN r IN (1, 6) THEN 'range' WHEN r IN (4, 5) THEN 'none' ELSE 'number' END AS kind,
+      CASE WHEN r IN (0, 2, 3, 7) THEN CAST(n AS DOUBLE) END AS value, CASE WHEN r IN (1, 6) THEN CAST(n AS DOUBLE) END AS low, CASE WHEN r IN (1, 6) THEN CAST(m AS DOUBLE) END AS high,
+      CASE r WHEN 0 THEN 'mm' WHEN 1 THEN 'mm' WHEN 2 THEN 'kg/h' WHEN 3 THEN NULL WHEN 6 THEN 'C' END AS unit,
+      CASE r WHEN 0 THEN n || ' mm' WHEN 1 THEN m || '-' || n || ' mm' WHEN 2 THEN n || ' kg/h' WHEN 3 THEN n || ' bar' WHEN 4 THEN n || '.5.1 m' WHEN 5 THEN n || '的模头正常产量' WHEN 6 THEN n || '-' || m || ' ℃' ELSE CAST(n AS VARCHAR) END AS text,
+      CASE r WHEN 0 THEN '宽度30' WHEN 7 THEN 'spare 2' END AS rest, CASE r WHEN 0 THEN '宽度' WHEN 7 THEN 'spare' END AS field, CASE r WHEN 0 THEN '30' WHEN 7 THEN '2' END AS field_value,
+      CASE WHEN r = 0 THEN 'number_unit_trailing_text' WHEN r = 3 THEN 'unit_alias_no_match' WHEN r IN (4, 5) THEN 'number_unit_parse_failed' WHEN r = 7 THEN 'unit_missing,number_unit_trailing_text' ELSE '' END AS warnings FROM v""",
+)
+def number_unit_aliases(spark, sf_dir):
+    """Sizes in eight spellings: with text after a known unit, ranges either way, per-hour forms, an unknown unit, a broken number, a sentence, signs of degrees, and no unit."""
+    n, m = F.col("p_size").cast("string"), (F.col("p_size") + 5).cast("string")
+    said = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    shapes = [said(n, "mm宽度30"), said(" ", m, "～", n, " 毫米 "), said(n, " Kg/Hour左右"), said(n, "bar"), said(n, ".5.1 m"), said(n, "的模头正常产量"), said(n, "°C至", m, "°C"), said(n, "(spare 2)")]
+    raw = F.element_at(F.array(*shapes), (F.col("p_partkey") % 8 + 1).cast("int"))
+    parsed = table(spark, sf_dir, "part").select("p_partkey", tx.measure(raw, _units()).alias("u"))
+    return parsed.select("p_partkey", *[f"u.{c}" for c in ("kind", "value", "low", "high", "unit", "text", "rest", "field", "field_value")], F.array_join("u.warnings", ",").alias("warnings"))
+
+
+@R.query(
+    "question_token_overlap",
+    """WITH q AS (SELECT ['订单金额', '订单', '单金', '金额', 'top10', '2024'] AS w), v AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['订单', 'top10'] WHEN 1 THEN ['金额', '2024'] WHEN 2 THEN ['订单', '单金', '金额', '订单金额'] ELSE [] END AS h FROM part)
+       SELECT p_partkey, round(len(list_intersect(w, h)) / 6.0, 4) AS ratio FROM v, q""",
+)
+def question_overlap(spark, sf_dir):
+    """A question in Chinese and Latin words against texts in both."""
+    wanted = tx.question_tokens(F.lit("订单金额 top10 2024?"))
+    shapes = [said for said in ("的订单 top10", "看金额2024年", "订单金额", "nothing here")]
+    have = tx.question_tokens(F.element_at(F.array(*[F.lit(v) for v in shapes]), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(sc.token_ratio(wanted, have), 4).alias("ratio"))
+
+
 # Scoring and retrieval
 
 

@@ -33,6 +33,19 @@ def one(spark, column, value, kind="string"):
         (tx.nfkc, "Ａ①", "A1"),
         (tx.quantity, "二十三", 23),
         (tx.quantity, "none", None),
+        (tx.quantity, "３ 台", 3),
+        (tx.quantity, "一千零五套", 1005),
+        (tx.quantity, "叁佰肆拾柒", 347),
+        (tx.quantity, "十 pcs", 10),
+        (tx.boolean, "选中", True),
+        (tx.boolean, "未选", False),
+        (tx.boolean, " 不需要 ", False),
+        (tx.unit_text, " μm / hour ", "um/h"),
+        (tx.unit_text, "°C", "℃"),
+        (tx.unit_text, "米", "m"),
+        (tx.unit_text, "kg/每小时左右", "kg/h"),
+        (tx.question_tokens, "2024年订单金额 top10", ["2024", "年订单金额", "年订", "订单", "单金", "金额", "top10"]),
+        (tx.without_literals, "a 'x''y' /* n\no */ b -- c\nd", "a" + " " * 18 + "b" + " " * 5 + "\nd"),
         (dj.canonical, '{"b": 1, "a": [2]}', '{"a":[2],"b":1}'),
         (dj.canonical, "no json", None),
         (dj.flattened, '{"b": {"c": 1}, "a": ["x"]}', "a[0]: x\nb.c: 1"),
@@ -52,6 +65,28 @@ def test_number_unit(spark, raw, kind, value, low, high, unit):
     assert (r.kind, r.value, r.low, r.high, r.unit) == (kind, value, low, high, unit)
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        (" 3～5 毫米 ", {"kind": "range", "low": 3.0, "high": 5.0, "unit_raw": "毫米", "unit": None, "warnings": ["unit_alias_no_match"], "text": "3-5 毫米"}),
+        ("12mm宽度30", {"kind": "number", "value": 12.0, "unit": "mm", "field": "宽度", "field_value": "30", "warnings": ["number_unit_trailing_text"]}),
+        ("30的模头正常产量20kg/h左右", {"kind": "none", "warnings": ["number_unit_parse_failed"], "text": "30的模头正常产量20kg/h左右"}),
+        ("10－100)转可调/每分钟", {"kind": "range", "low": 10.0, "high": 100.0, "unit_raw": None, "warnings": ["unit_missing", "number_unit_trailing_text"]}),
+        ("1.2.3 m", {"kind": "none"}),
+        ("no number", {"kind": "none"}),
+        ("-5 m3/h", {"kind": "number", "value": -5.0, "unit_raw": "m3/h", "unit": "m3/h", "text": "-5 m³/h", "warnings": []}),
+        ("20-10 KG／Hour", {"kind": "range", "low": 10.0, "high": 20.0, "unit": "kg/h", "text": "20-10 kg/h"}),
+        ("7 mmx", {"kind": "number", "unit_raw": "mmx", "unit": None}),
+        ("", {"kind": "none"}),
+    ],
+)
+def test_measures_with_known_units(spark, raw, want):
+    units = F.from_json(F.lit('{"mm": {"canonical": "mm"}, "kg/h": {"canonical": "kg/h"}, "m3/h": {"canonical": "m3/h", "display": "m³/h"}}'), "map<string, struct<canonical: string, display: string>>")
+    got = one(spark, lambda c: tx.measure(c, units), raw).asDict()
+    assert {k: got[k] for k in want} == want
+    assert one(spark, lambda c: tx.measure(c, units), None) is None
+
+
 def test_patch_and_protect(spark):
     assert one(spark, dj.patched(("a", "b"), 1, frozenset("ab")), '{"a": 3}') == '{"a":{"b":1}}'
     for path in ((), ("x",), ("__proto__",)):
