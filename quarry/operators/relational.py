@@ -96,10 +96,24 @@ def probe(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
     return some.orderBy(*order).limit(most).join(n, how="cross")  # one row
 
 
-def nearest_rank(df: DataFrame, group: list[str], column: str, q: float) -> DataFrame:
-    """The value at place floor((n - 1) * q) of the sorted values of each group, 0 for none: exact, by counts of values."""
+def nearest_rank(df: DataFrame, group: list[str], column: str, q: float, parts: int = 1024) -> DataFrame:
+    """The value at place floor((n - 1) * q) of the sorted numbers of each group: exact, by counts of values; nulls come first.
+
+    Counts are summed by `parts` ranges of equal width between a group's least and greatest value, which tells the range that
+    holds the place; only the values of that one are put in order. So a group is spread over tasks until one range is left.
+    """
     counts = df.groupBy(*group, column).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*group).orderBy(column)
-    place = counts.withColumn("below", F.sum("n").over(w) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
+    ends = counts.groupBy(*group).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.sum("n").alias("all"))
+    c, e = counts.alias("c"), ends.alias("e")
+    wide = (F.col("high") - F.col("low")).cast("double")
+    part = F.when(F.col(f"c.{column}").isNull(), -1).when(wide > 0, F.least(F.lit(parts - 1), F.floor((F.col(f"c.{column}") - F.col("low")) / wide * parts))).otherwise(0)
+    own = [F.col(f"c.{g}").alias(g) for g in group]
+    placed = c.join(e, [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group]).select(*own, F.col(f"c.{column}").alias(column), "n", "all", part.alias("part"))
+    sums = placed.groupBy(*group, "part").agg(F.sum("n").alias("sum"), F.first("all").alias("all"))
+    before = F.sum("sum").over(Window.partitionBy(*group).orderBy("part")) - F.col("sum")  # at most `parts` rows of a group
     target = F.floor((F.col("all") - 1) * q)
-    return place.where((F.col("below") <= target) & (target < F.col("below") + F.col("n"))).select(*group, F.col(column).alias("quantile"))
+    hit = sums.withColumn("before", before).where((F.col("before") <= target) & (target < F.col("before") + F.col("sum"))).select(*group, "part", "before")
+    p, h = placed.alias("p"), hit.alias("h")
+    inside = p.join(h, [*[F.col(f"p.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group], F.col("p.part") == F.col("h.part")]).select(*[F.col(f"p.{g}").alias(g) for g in group], F.col(f"p.{column}").alias(column), "n", "all", "before")
+    below = F.col("before") + F.sum("n").over(Window.partitionBy(*group).orderBy(column)) - F.col("n")
+    return inside.withColumn("below", below).where((F.col("below") <= target) & (target < F.col("below") + F.col("n"))).select(*group, F.col(column).alias("quantile"))

@@ -176,7 +176,7 @@ def quantities(spark, sf_dir):
 UNITS = {"mm": ("mm", "mm"), "毫米": ("mm", "mm"), "kg/h": ("kg/h", "kg/h"), "m3/h": ("m3/h", "m³/h"), "℃": ("C", "℃")}
 
 
-def _units():
+def units():
     entry = lambda c, d: F.struct(F.lit(c).alias("canonical"), F.lit(d).alias("display"))
     return F.create_map(*[x for name, (c, d) in UNITS.items() for x in (F.lit(name), entry(c, d))])
 
@@ -197,7 +197,7 @@ def number_unit_aliases(spark, sf_dir):
     said = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     shapes = [said(n, "mm宽度30"), said(" ", m, "～", n, " 毫米 "), said(n, " Kg/Hour左右"), said(n, "bar"), said(n, ".5.1 m"), said(n, "的模头正常产量"), said(n, "°C至", m, "°C"), said(n, "(spare 2)")]
     raw = F.element_at(F.array(*shapes), (F.col("p_partkey") % 8 + 1).cast("int"))
-    parsed = table(spark, sf_dir, "part").select("p_partkey", tx.measure(raw, _units()).alias("u"))
+    parsed = table(spark, sf_dir, "part").select("p_partkey", tx.measure(raw, units()).alias("u"))
     return parsed.select("p_partkey", *[f"u.{c}" for c in ("kind", "value", "low", "high", "unit", "text", "rest", "field", "field_value")], F.array_join("u.warnings", ",").alias("warnings"))
 
 
