@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarry.llm import decontamination, nearjoin, suffixes
 from quarry.sources.tables import table
@@ -63,3 +65,33 @@ def test_suffix_stage_sees_passages_of_51_words(spark, sf_dir):
     df = spark.createDataFrame([(d, t, len(t)) for d, t in texts.items()], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, sf_dir).collect()}
     assert got == trimmed_by_force(texts, 240) and passage not in got[1] and passage not in got[2]
+
+
+def chain(spark, docs, sf_dir, folder):
+    """The rows after each stage, each written and read again."""
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(folder / str(k)))
+        docs = spark.read.parquet(str(folder / str(k)))
+        out.append(docs)
+    return out
+
+
+def test_hard_rows_go_through_all_stages(spark, sf_dir, tmp_path):
+    """Nulls in any column, empty, blank and very long texts, repeated rows and ids, and columns of names that stages use themselves."""
+    some = table(spark, sf_dir, "documents").where("doc_id < 60")
+    odd = [(1000, None, "en", None, None), (1001, "", None, "s", 0), (1002, " \n ", "de", "s", 3), (None, None, None, None, None), (1003, "...", "en", "s", 3), (1004, "漢字 текст", "en", "s", 8), (1005, "word " * 30000 + "end", "en", "s", 150003)]
+    odd += [(1006, "This row is here three times, and one of them stays.", "en", "s", 52)] * 3 + [(1007, "One id with two texts that differ in all.", "en", "s", 1), (1007, "Der zweite Text hat nichts davon und bleibt.", "de", "s", 1)]
+    docs = some.unionByName(spark.createDataFrame(odd, some.schema))
+    for name in ("row", "digest", "matches", "hash", "n_words", "label", "speaker", "cut", "class_id", "rank"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    *stages, last = chain(spark, docs, sf_dir, tmp_path)
+    assert all(d.columns == docs.columns for d in stages) and all(d.where("digest <> 'clash' OR `row` <> 'clash' OR matches <> 'clash'").count() == 0 for d in stages)
+    ids = [collections.Counter(r.doc_id for r in d.select("doc_id").collect()) for d in stages]
+    assert not {1000, 1001, 1002, 1003, None} & set(ids[0]) and {1004, 1005, 1006, 1007} <= set(ids[0])
+    assert ids[0][1006] == 3 and ids[1][1006] == 1 and ids[1][1007] == 2 and ids[3][1007] == 2
+    assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == set(ids[3])
+
+
+def test_nothing_goes_through_all_stages(spark, sf_dir, tmp_path):
+    assert [d.count() for d in chain(spark, table(spark, sf_dir, "documents").limit(0), sf_dir, tmp_path)] == [0] * 5
