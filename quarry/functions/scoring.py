@@ -30,6 +30,12 @@ def token_ratio(wanted: Column, have: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(wanted, have)) / F.nullif(F.size(wanted), F.lit(0)), F.lit(0.0))
 
 
+def words_ratio(text: Column, wanted: tuple[str, ...]) -> Column:
+    """The share of a few wanted words (a-z and digits) that a long text has; the text is searched, not split."""
+    low = F.lower(text)
+    return total(*[weight(low.rlike(rf"(^|[^a-z0-9]){w}($|[^a-z0-9])"), 1.0) for w in wanted]) / len(wanted)
+
+
 def closeness(a: Column, b: Column) -> Column:
     """1 for equal widths, falling to 0 at the larger of 100 and a tenth of the wanted one."""
     return 1 - F.least(F.abs(a - b) / F.greatest(F.lit(100.0), 0.1 * F.abs(b)), F.lit(1.0))

@@ -26,6 +26,11 @@ FINANCE = re.compile(r"price|amount|acctbal|cost|total", re.I)
 PERSON = re.compile(r"(^|_)name$|customer|employee|clerk", re.I)
 
 
+#: Tables of tenants and their places, whose keys can be listed in a filter, up to so many.
+LOOKUPS = ("region", "nation")
+LISTED = 1000
+
+
 @dataclass(frozen=True)
 class AccessScope:
     """Tenants that may be read (None: all of them), and whether finance and person columns are shown."""
@@ -54,10 +59,17 @@ def scoped(spark: SparkSession, sf_dir: str, name: str, scope: AccessScope) -> D
     if name == "region":
         return allowed
     path = TENANT_PATH[name]
+    few = True  # from the tenants on, keys are written into the next table's filter, as long as they are few
     for k in range(len(path) - 1, -1, -1):
         own, key = path[k][1], path[k][2]
         source = df if k == 0 else table(spark, sf_dir, path[k - 1][0])
-        allowed = source.join(allowed.select(F.col(key).alias("scope_key")), F.col(own) == F.col("scope_key"), "left_semi")
+        if few:
+            keys = [r[0] for r in allowed.select(key).distinct().limit(LISTED + 1).collect()]
+            few = len(keys) <= LISTED and path[k][0] in LOOKUPS
+        if few:
+            allowed = source.where(F.col(own).isin(keys))
+        else:
+            allowed = source.join(allowed.select(F.col(key).alias("scope_key")), F.col(own) == F.col("scope_key"), "left_semi")
     return allowed
 
 

@@ -260,9 +260,9 @@ def archive_rank(spark, sf_dir):
        SELECT doc_id, score FROM s ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 10""",
 )
 def reference_rank(spark, sf_dir):
-    wanted = F.array(*[F.lit(w) for w in ("license", "version", "under", "apache")])
+    ratio = sc.words_ratio(F.coalesce("text", F.lit("")), ("license", "version", "under", "apache"))
     n = F.col("n_chars")
-    score = sc.reference_score(F.col("lang") == "en", F.col("source") == "src3", sc.token_ratio(wanted, tx.tokens(F.col("text"))), n % 3, n % 5, n > 2000, F.lit(False), F.col("doc_id") % 2 == 0)
+    score = sc.reference_score(F.col("lang") == "en", F.col("source") == "src3", ratio, n % 3, n % 5, n > 2000, F.lit(False), F.col("doc_id") % 2 == 0)
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), F.col("doc_id").cast("string")).limit(10)
 
 
