@@ -138,6 +138,10 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield np.unique(value[at[i] : at[i + 1]])
 
 
+def squares(c: str):
+    return F.sum(F.col(c).cast("double") * F.col(c))
+
+
 def paths(kinds: DataFrame, small: int, plan: Plan) -> DataFrame:
     """The buckets: path, ended, m (sets in it), and for each of them sig, size, tokens chosen and sampled, and copies.
 
@@ -151,20 +155,27 @@ def paths(kinds: DataFrame, small: int, plan: Plan) -> DataFrame:
     while not (large := level.where(F.col("m") > small)).isEmpty():
         depth = F.size("path") - 1
         sampled = F.when(depth == 0, F.col("tokens")).otherwise(F.filter("tokens", lambda t: t > F.element_at("path", -1)))
-        more = large.join(kinds.select("sig", "tokens"), "sig").select("sig", "path", "m", F.explode(F.slice(sampled, 1, plan.follow)).alias("next"))
-        parts = more.groupBy("path", "next").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+        ended = (depth > 0) & (plan.similarity * F.col("size") <= depth)
+        large = cut(large.join(kinds.select("sig", "size", "tokens"), "sig").select("sig", "path", "m", ended.alias("ended"), F.slice(sampled, 1, plan.follow).alias("ahead")))
+        # Copies of one another share the first tokens: that is told by these alone, and such buckets go no further.
+        whole = F.first("m").cast("double")
+        alike = [large.groupBy("path", F.get("ahead", F.lit(i)).alias("next")).agg(F.count("*").alias("n"), F.first("m").alias("m")).where("next IS NOT NULL") for i in (0, 1)]
+        alike = alike[0].unionByName(alike[1]).groupBy("path").agg(squares("n").alias("parts"), (whole * whole).alias("whole")).where(F.col("parts") >= 0.5 * F.col("whole"))
+        parts = large.join(alike.select("path"), "path", "left_anti").select("path", "m", F.explode("ahead").alias("next")).groupBy("path", "next").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+        parts = cut(parts.withColumn("m", F.col("m").cast("double")))
         # Splitting a bucket pays if the squares of its parts are well under the square of the whole.
-        work = parts.groupBy("path").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("parts"), F.first("m").alias("whole"))
-        pays = cut(work.where(F.col("parts") < 0.5 * F.col("whole").cast("double") * F.col("whole")).select("path"))
+        work = parts.groupBy("path").agg(squares("n").alias("parts"), (F.first("m") * F.first("m")).alias("whole"))
+        pays = cut(work.where(F.col("parts") < 0.5 * F.col("whole")).select("path"))
         split = large.join(pays, "path", "left_semi")
-        found = found.unionByName(large.join(pays, "path", "left_anti").withColumn("ended", F.lit(False)).select(*here))
-        over = split.join(kinds.select("sig", "size"), "sig").where((depth > 0) & (plan.similarity * F.col("size") <= depth))
-        ended = over.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        found = found.unionByName(over.join(ended, "path").select("path", F.lit(True).alias("ended"), F.col("n").alias("m"), "sig"))
-        level = more.drop("m").join(pays, "path", "left_semi").join(parts.where("n > 1").select("path", "next", "n"), ["path", "next"])
+        whole_ones = large.join(pays, "path", "left_anti").withColumn("ended", F.lit(False)).select(*here)
+        over = split.where("ended")
+        several = over.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        ends = over.join(several, "path").select("path", "ended", F.col("n").alias("m"), "sig")
+        level = split.select("sig", "path", F.explode("ahead").alias("next")).join(parts.where("n > 1").select("path", "next", "n"), ["path", "next"])
         level = cut(level.select(F.concat("path", F.array("next")).alias("path"), F.col("n").alias("m"), "sig"))
-        found = cut(found.unionByName(level.where(F.col("m") <= small).withColumn("ended", F.lit(False)).select(*here)))
-    return found.join(kinds.select("sig", "size", "opens", "tokens", "copies"), "sig")
+        found = cut(found.unionByName(whole_ones).unionByName(ends).unionByName(level.where(F.col("m") <= small).withColumn("ended", F.lit(False)).select(*here)))
+    # Of the tokens chosen, only those up to the path's own matter.
+    return found.join(kinds.select("sig", "size", "opens", "tokens", "copies"), "sig").withColumn("opens", F.filter("opens", lambda o: o <= F.element_at("path", 1)))
 
 
 def tiled(buckets: DataFrame, tile: int) -> DataFrame:

@@ -18,8 +18,9 @@ needs the sum of the values of its words and pairs: a join of the documents'
 pairs with the model by the pair. Both sides are sharded by a hash of the pair.
 The texts stay where they are: a task sends to each shard the pairs that its
 chunk of documents has, each once with the documents it occurs in, and gets
-their sums back. This goes on in `PASSES` passes over the shards, which bounds
-what is shuffled at a time. Pairs and words of over `HOT` of all in the documents
+their sums back. Counting, the model's joins and this go on in `PASSES` passes,
+each over the pairs of one remainder, which bounds what is shuffled at a time;
+tables go as soon as nothing reads them any more. Pairs and words of over `HOT` of all in the documents
 are at most 1 / HOT of either, and are looked up by the tasks themselves, so that
 no shard is hot. Values are whole numbers, so sums don't depend on their order.
 
@@ -42,6 +43,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +56,10 @@ from quarry.llm.decontamination import FOLD, find
 QUANTILE = 0.998
 HELD = 5
 HOT = 1e-4
-PASSES = 2
+PASSES = 3
 SHARD = 1 << 19  # values of a shard in a pass, about
 CHUNK = 24 << 20  # bytes of text that ask together
-MOST = 1 << 22  # pairs that a task gathers before it sends them on
+MOST = 1 << 21  # pairs that a task gathers before it sends them on
 UNIT = 1 << 16  # parts of a bit that values are counted in
 START, END = 0, 1  # what stands before the first and after the last word
 ANY = END  # no pair begins with END: such pairs stand for the word alone
@@ -122,25 +124,32 @@ def pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words[:-1][inside], words[1:][inside], text[1:][inside]
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """v (the context, in the upper bits), w and c (how often they are neighbours) over all texts."""
+def count(docs: DataFrame, turn: int = 0, passes: int = 1) -> DataFrame:
+    """v (the context, in the upper bits), w and c (how often they are neighbours) over all texts, for the pairs of one pass."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def rows() -> pa.RecordBatch:
-            v, w, c = held
+        def merged() -> tuple[np.ndarray, ...]:
+            v, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, inverse = np.unique(codes(v, w), return_index=True, return_inverse=True)
+            return v[at], w[at], np.bincount(inverse, c, len(at)).astype(np.int64)
+
+        def rows(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array((v << np.uint64(64 - BITS)).view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)], names=["v", "w", "c"])
 
-        for b in runs(batches, "text", 8 << 20):
+        more = 0
+        for b in runs(batches, "text"):
             v, w, _ = pairs(b.column("text"))
-            v, w, c = np.concatenate([held[0], v]), np.concatenate([held[1], w]), np.concatenate([held[2], np.ones(len(v), np.int64)])
-            _, at, inverse = np.unique(codes(v, w), return_index=True, return_inverse=True)
-            held = [v[at], w[at], np.bincount(inverse, c, len(at)).astype(np.int64)]
-            if len(at) > MOST:
-                yield rows()
-                held = [x[:0] for x in held]
-        yield rows()
+            mine = codes(v, w) % np.uint64(passes) == turn
+            held.append((v[mine], w[mine], np.ones(int(mine.sum()), np.int64)))
+            more += len(held[-1][0])
+            if more > MOST // 2:
+                held, more = [merged()], 0
+                if len(held[0][0]) > MOST:
+                    yield rows(*held.pop())
+        if held:
+            yield rows(*merged())
 
     return docs.select("text").mapInArrow(look, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
@@ -160,20 +169,22 @@ def taken(c: str, d: tuple[float, float, float]):
     return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
 
 
-def model(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+def model(counts: DataFrame, made: list[str]) -> tuple[DataFrame, DataFrame, tuple[float, float, float], float]:
     """From the counts of pairs: for words w, p (continuation probability; null for START), off (discounted of it as a context) and all (its count as one);
-    for pairs v, w and r, the count that is left over the context's discounted mass; and the probability of an unknown word."""
+    for contexts v, off; the discounts of pairs; and the probability of an unknown word. made gets the paths of tables."""
     contexts = counts.groupBy("v").agg(F.sum("c").alias("all"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") > 2).alias("n3"))
-    before, _ = kept(counts.groupBy("w").agg(F.count("*").alias("n")))
+    before, path = kept(counts.groupBy("w").agg(F.count("*").alias("n")))
+    made.append(path)
     d, e = discounts(counts), discounts(before, "n")
-    contexts, _ = kept(contexts.select("v", "all", (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")).alias("off")))
+    contexts, path = kept(contexts.select("v", "all", (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")).alias("off")))
+    made.append(path)
     total = before.agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.sum(taken("n", e)).alias("off")).first()
     unknown = total["off"] / total["n"] / (total["words"] + 1)
     p = ((F.col("n") - taken("n", e)) / F.lit(total["n"]) + F.lit(unknown)).alias("p")
     own = contexts.select(F.shiftrightunsigned("v", 64 - BITS).alias("w"), "off", "all")
-    words = before.select("w", p).join(own, "w", "full")
-    rest = counts.join(contexts.select("v", "off"), "v").select("v", "w", ((F.col("c") - taken("c", d)) / F.col("off")).cast("float").alias("r"))
-    return words, rest, unknown
+    words, path = kept(before.select("w", p).join(own, "w", "full"))
+    made.append(path)
+    return words, contexts.select("v", "off"), d, unknown
 
 
 class Shards:
@@ -212,6 +223,9 @@ class Shards:
             yield from rows()
 
 
+PACKED = "pass int, shard int, blob binary"
+
+
 def slices(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Shard and range of each shard's part of sorted keys."""
     shard = (key >> np.uint64(BITS)).astype(np.int64)
@@ -221,21 +235,28 @@ def slices(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(shard[i]), i, j
 
 
-def values(counts: DataFrame, path: str, passes: int) -> tuple[DataFrame, Shards, float]:
-    """The model packed by passes and shards (pass, shard, blob), and the probability of an unknown word. The table of counts at `path` goes on the way."""
-    spark = counts.sparkSession
-    words, rest, unknown = model(counts)
+def values(tables: list[tuple[DataFrame, str]], made: list[str]) -> tuple[DataFrame, Shards, float]:
+    """The model packed by passes and shards (pass, shard, blob), and the probability of an unknown word.
+
+    tables: the counts of each pass and where they lie; they go on the way. made gets the paths of tables that stay.
+    """
+    spark, passes = tables[0][0].sparkSession, len(tables)
+    counts = reduce(DataFrame.unionByName, [t for t, _ in tables])
+    words, contexts, d, unknown = model(counts, made)
     shards = Shards(max(shuffle_partitions(spark), -(-counts.count() // (passes * SHARD))), passes)
-    words, _ = kept(words)
-    rest, rest_path = kept(rest)
-    drop(spark, path)
-    value = F.round(F.lit(float(UNIT)) * F.log2(1 + F.col("r") / F.col("p")))
-    both = rest.join(words.select("w", "p"), "w").select(F.col("v").bitwiseXOR(F.col("w")).alias("code"), value.cast("int").alias("value"))
     alone = F.coalesce(F.log2(F.col("p") / F.lit(unknown)), F.lit(0.0)) + F.coalesce(F.log2(F.col("off") / F.col("all")), F.lit(0.0))
     single = words.select(F.col("w").bitwiseXOR(F.lit(ANY << (64 - BITS))).alias("code"), F.round(F.lit(float(UNIT)) * alone).cast("int").alias("value"))
-    packed, _ = kept(both.unionByName(single).mapInArrow(shards.pack, "pass int, shard int, blob binary"))
-    drop(spark, rest_path)
-    return packed, shards, unknown
+    packed = [kept(single.mapInArrow(shards.pack, PACKED))]
+    for table, path in tables:
+        # What is left of a count over the context's discounted mass; then over the word's probability.
+        rest, rest_path = kept(table.join(contexts, "v").select("v", "w", ((F.col("c") - taken("c", d)) / F.col("off")).cast("float").alias("r")))
+        drop(spark, path)
+        value = F.round(F.lit(float(UNIT)) * F.log2(1 + F.col("r") / F.col("p")))
+        both = rest.join(words.select("w", "p"), "w").select(F.col("v").bitwiseXOR(F.col("w")).alias("code"), value.cast("int").alias("value"))
+        packed.append(kept(both.mapInArrow(shards.pack, PACKED)))
+        drop(spark, rest_path)
+    made += [path for _, path in packed]
+    return reduce(DataFrame.unionByName, [t for t, _ in packed]), shards, unknown
 
 
 def all_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +274,8 @@ def hot(docs: DataFrame, share: float = HOT) -> np.ndarray:
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches, "text", CHUNK):
-            code, n = np.unique(all_codes(b.column("text"))[0], return_counts=True)
+        for b in together(runs(batches, "text"), CHUNK, 1 << 20):
+            code, n = np.unique(np.concatenate([all_codes(part.column("text"))[0] for part in runs([b], "text")]), return_counts=True)
             much = n >= max(1, share / 2 * n.sum())
             yield pa.RecordBatch.from_arrays([pa.array([None, *code[much].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[much].tolist()], pa.int64())], names=["code", "n"])
 
@@ -439,14 +460,18 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held:
     prepare(docs.sparkSession)
     docs = trusted(plain(docs, "doc_id", "lang", "text"), labels).withColumn("hash", F.xxhash64("text"))
     docs = docs.withColumn("held_out", F.col("trusted") & (F.pmod(F.hash("doc_id"), F.lit(held)) == 0))
-    counts, path = kept(count(docs.where("trusted AND NOT held_out AND text IS NOT NULL")))
-    if counts.isEmpty():  # nothing to learn from: every word is as good as another
-        packed, shards, unknown = counts.select(F.lit(0).alias("pass"), F.lit(0).alias("shard"), F.lit(b"").alias("blob")), Shards(1, 1), 1.0
+    learned = docs.where("trusted AND NOT held_out AND text IS NOT NULL")
+    tables, made = [kept(count(learned, turn, passes)) for turn in range(passes)], []
+    if all(t.isEmpty() for t, _ in tables):  # nothing to learn from: every word is as good as another
+        packed, shards, unknown = docs.sparkSession.createDataFrame([], PACKED), Shards(1, passes), 1.0
+        made += [path for _, path in tables]
     else:
-        packed, shards, unknown = values(counts, path, passes)
+        packed, shards, unknown = values(tables, made)
     scored = score(docs, packed, shards, unknown, share)
     rows = docs.select("doc_id", "lang", "hash", "trusted", "held_out").join(scored.withColumnRenamed("doc_id", "id").withColumnRenamed("hash", "own"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")), "left")
     rows = cut(rows.select("doc_id", "lang", "trusted", "held_out", "n_words", F.when(F.col("n_words") > 0, F.pow(F.lit(2.0), -F.col("bits") / (F.col("n_words") + 1))).alias("perplexity")))
+    for path in made:
+        drop(docs.sparkSession, path)
     good = rows.where("trusted AND perplexity IS NOT NULL")
     if not (apart := good.where("held_out")).isEmpty():
         good = apart
