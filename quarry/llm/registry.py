@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, html, language, nearjoin, packing, quality, sentences, suffixes, topk, urls
+from quarry.llm import decontamination, html, language, nearjoin, packing, quality, repair, sentences, suffixes, topk, urls
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -94,3 +94,8 @@ def op6_substring_dedup(spark, sf_dir):
 @query
 def op5_html_extraction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_structure_repair(spark, sf_dir):
+    return repair.check(table(spark, sf_dir, "conversations"))
