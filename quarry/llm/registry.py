@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, html, language, nearjoin, packing, quality, repair, sentences, suffixes, topk, urls
+from quarry.llm import chat, decontamination, html, language, nearjoin, packing, quality, repair, resampling, sentences, suffixes, topk, urls
 from quarry.sources.tables import table
 
 QUERIES: dict = {}
@@ -99,3 +99,64 @@ def op5_html_extraction(spark, sf_dir):
 @query
 def op12_structure_repair(spark, sf_dir):
     return repair.check(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_chat_formatting(spark, sf_dir):
+    return chat.check(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_chat_formatting"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<\|role\|>|<\|text\|>|<\|end\|>', '###', 'g')) AS n,
+                  length(regexp_replace(replace(role, '\', '\\'), '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<\|role\|>|<\|text\|>|<\|end\|>', '###', 'g')) AS r
+           FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 24 + r END) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(role || ',', '' ORDER BY turn NULLS FIRST, role, text), '(system,)?(user,assistant,)+') AS valid
+FROM e GROUP BY conv_id
+"""
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    return resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# A CRC-32 by its table of 256 steps; distinct words only.
+_CRC = """
+     steps(n, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+                        UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+     crc_table AS (SELECT list(c ORDER BY n) AS l FROM steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """SQL of the CRC-32 of a text column, where the list `l` of `crc_table` can be seen."""
+    byte = f"[CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2) AS BIGINT) for i in range(octet_length(encode({text})))]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {byte}), lambda a, x: xor(a >> 8, l[1 + (xor(a, x) & 255)])))"
+
+
+ORACLES["op13_importance_resampling"] = f"""
+WITH RECURSIVE {_CRC},
+     d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS w FROM documents),
+     dw AS (SELECT n, unnest(w) AS word FROM d),
+     bw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+     words AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)), crc_table),
+     s AS (SELECT bucket, count(*) AS s FROM dw JOIN words USING (word) GROUP BY 1),
+     t AS (SELECT bucket, count(*) AS t FROM bw JOIN words USING (word) GROUP BY 1),
+     totals AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+     gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * (s_all + CAST(10000 AS DOUBLE)) / ((s + CAST(1 AS DOUBLE)) * (t_all + CAST(10000 AS DOUBLE))))) AS BIGINT) AS g
+              FROM s LEFT JOIN t USING (bucket), totals),
+     per AS (SELECT n, sum(g) AS total FROM dw JOIN words USING (word) JOIN gain USING (bucket) GROUP BY 1),
+     weighed AS (SELECT n, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(total, 0) AS BIGINT) AS total,
+                        CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+                 FROM d LEFT JOIN per USING (n)),
+     scored AS (SELECT n, doc_id, n_features, CASE WHEN n_features = 0 THEN 0 ELSE (total - (total % n_features + n_features) % n_features) // n_features END AS weight,
+                       CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS noise
+                FROM weighed),
+     ranked AS (SELECT n, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS many FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= many * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (n)
+"""

@@ -83,7 +83,7 @@ def by_conversation(batches: Iterator[pa.RecordBatch], rows: int, size: int) ->
             last = (this,)
             piece = table.slice(begin, end - begin)
             weight = (pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0) + 64 * (end - begin)
-            if held and (held_rows + end - begin > rows or held_size + weight > size):
+            if held_rows + end - begin > rows or held_size + weight > size:
                 part = True
                 yield from close(True)
             held.append(piece)
