@@ -1,115 +1,160 @@
-"""Checks of SQL text before it runs. Spark's own analyser decides what a query reads and returns."""
+"""Checks of SQL text before it runs. Spark's own parser and analyser say what a query reads and computes; see `lineage`."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans.lineage import Lineage, kind, relations, seq
 from quarry.plans.model import PlanError
 
-#: Statements and functions that a read-only query may not hold.
-BANNED = ("insert", "update", "delete", "merge", "drop", "alter", "create", "truncate", "grant", "revoke", "set", "cache", "refresh", "reflect", "java_method", "load")
-_LITERAL = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'", re.S)
-
-
-def bare(sql: str) -> str:
-    """The text with comments and literals blanked, of the same length."""
-    return _LITERAL.sub(lambda m: " " * len(m[0]), sql)
-
-
-#: Kinds of leaves that read nothing: constants and rows written out.
-_NOTHING = ("OneRowRelation", "UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation")
-
-
-def _seq(items) -> list:
-    return [items.apply(i) for i in range(items.size())]
-
-
-def _kind(node) -> str:
-    return node.getClass().getSimpleName().rstrip("$")
-
-
-def relations(spark: SparkSession, sql: str) -> set[str]:
-    """The tables that a query reads, from Spark's parsed plan: all relations but the names of common table expressions where these can be seen.
-
-    Commands, table functions and every leaf that isn't a relation or a constant are refused.
-    """
-    jvm = spark._jvm
-    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    found: set[str] = set()
-
-    def walk(plan, known: frozenset[str]) -> None:
-        kind = _kind(plan)
-        if command.isInstance(plan):
-            raise PlanError(f"{kind} may not run")
-        if kind == "UnresolvedWith":
-            for entry in _seq(plan.cteRelations()):
-                walk(entry._2(), known)
-                known = known | {entry._1().lower()}
-        children = _seq(plan.children())
-        if kind == "UnresolvedRelation":
-            parts = [p.lower() for p in _seq(plan.multipartIdentifier())]
-            if len(parts) != 1 or parts[0] not in known:
-                found.add(".".join(parts))
-        elif not children and kind not in _NOTHING:
-            raise PlanError(f"{kind} may not be read")
-        for child in [*children, *_seq(plan.subqueries())]:
-            walk(child, known)
-
-    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
-    return found
+#: Names that stand for a tenant in a draft, and would make its result empty.
+PLACEHOLDERS = frozenset({"yourcompany", "companycode", "companyid"})
+
+
+@dataclass(frozen=True)
+class Reference:
+    """What a finance query rests on. A metric declares its table, amount, status field, time field and the conditions on the status."""
+
+    source: str  # metric or template; for an estimate also dataset or family
+    table: str = ""
+    amount: str = ""
+    status_field: str = ""
+    time_field: str = ""
+    status: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Finance:
+    """Rules of a finance query: its references, the columns that explain its scope, and detail tables with the document number they are summed by."""
+
+    references: tuple[Reference, ...] = ()
+    estimate: bool = False
+    scope_columns: tuple[str, ...] = ("time_scope", "amount_scope", "status_scope", "tax_scope")
+    details: tuple[tuple[str, str], ...] = (("lineitem", "l_orderkey"),)
+    amount: str = r"amount|amt|cost|price|total|debit|credit|balance|acctbal|tax"
+    status: str = r"status|posted|closed|void|cancel|paid|hold|approv|flag"
+    date: str = r"date|(^|_)ts$"
+
+
+class Inspected:
+    """A query over given tables, analysed in a session of its own, and its lineage. Nothing runs, and the caller's session stays as it is."""
+
+    def __init__(self, spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None) -> None:
+        jvm = spark._jvm
+        self._session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+        self._jvm = jvm
+        try:
+            used = relations(self._session._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+        except ParseException as e:
+            raise PlanError(f"not a single query: {e.getMessage().splitlines()[0]}") from e
+        known = {t.lower(): t for t in tables}
+        if unknown := used - known.keys():
+            raise PlanError(f"table {sorted(unknown)[0]!r} is not known")
+        for name in used:
+            given = tables[known[name]]._jdf.queryExecution().analyzed()
+            jvm.org.apache.spark.sql.classic.Dataset.ofRows(self._session._jsparkSession, given).createOrReplaceTempView(name)
+        self.tables = used
+        self.plan = self._analyse(sql, args)
+        self.lineage = Lineage(jvm, self.plan)
+        self.output = [a.name() for a in seq(self.plan.output())]
+
+    def _analyse(self, sql: str, args: dict | None = None):
+        try:
+            return self._session.sql(sql, args=args or {})._jdf.queryExecution().analyzed()
+        except AnalysisException as e:
+            raise PlanError(e.getMessage().splitlines()[0]) from e
+
+    def conditions(self, table: str, condition: str) -> tuple[set[str], set[str]]:
+        """The keys of a condition's parts on a table, as `Leaf.holds` has them, and the columns that they name."""
+        if table.lower() not in self.tables:
+            return {""}, set()
+        lineage = Lineage(self._jvm, self._analyse(f"SELECT 1 FROM `{table}` WHERE {condition}"))
+        return lineage.leaves[0].holds, {c for _, c in lineage.used}
+
+    def own_columns(self, name: str) -> bool:
+        """Whether a result column is a table's own column of that name, not an expression that is called so."""
+        mine = [a for a in seq(self.plan.output()) if a.name().lower() == name.lower()]
+        bases = [self.lineage.direct.get(a.exprId().id(), ()) for a in mine]
+        return any(b and all(c == name.lower() for _, _, c in b) for b in bases)
+
+    def dataframe(self, spark: SparkSession) -> DataFrame:
+        return DataFrame(self._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, self.plan), spark)
 
 
 def _grouped(plan) -> bool:
     """Whether a plan's own rows are groups: an aggregate with nothing between it and the result that could add rows."""
-    while _kind(plan) in ("Project", "Filter", "Sort", "SubqueryAlias", "GlobalLimit", "LocalLimit", "Distinct", "Offset", "WithCTE"):
-        plan = plan.plan() if _kind(plan) == "WithCTE" else plan.child()
-    return _kind(plan) == "Aggregate"
-
-
-def _own_column(plan, name: str) -> bool:
-    """Whether a result column is a table's own column of that name, not an expression that is called so."""
-    source = {a.exprId().toString() for leaf in _seq(plan.collectLeaves()) for a in _seq(leaf.output()) if a.name().lower() == name.lower()}
-    return any(a.name().lower() == name.lower() and a.exprId().toString() in source for a in _seq(plan.output()))
+    while kind(plan) in ("Project", "Filter", "Sort", "SubqueryAlias", "GlobalLimit", "LocalLimit", "Distinct", "Offset", "WithCTE"):
+        plan = plan.plan() if kind(plan) == "WithCTE" else plan.child()
+    return kind(plan) == "Aggregate"
 
 
 def _combined(plan) -> bool:
-    return _kind(plan) in ("Union", "Intersect", "Except") or any(_combined(c) for c in _seq(plan.children()))
-
-
-def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None, tenant: str | None = None, most: int | None = None) -> DataFrame:
-    """A single SELECT over the given tables only, with bound parameters, as a DataFrame.
-
-    Which tables it reads is told from Spark's parsed plan, so no way of writing them gets around it. The tenant column
-    must be among its columns, as a table's own column, in a query without set operations; a query that is not an
-    aggregate itself is limited. The given tables can be seen by this query alone: views of the same names stay.
+    return kind(plan) in ("Union", "Intersect", "Except") or any(_combined(c) for c in seq(plan.children()))
+
+
+def finance_errors(query: Inspected, rules: Finance) -> list[str]:
+    """What a finance query lacks: approved references, fields, conditions on the status that hold for every row it sums, and columns that explain it."""
+    errors = []
+    allowed = ("metric", "template", "dataset", "family") if rules.estimate else ("metric", "template")
+    if not any(r.source in allowed for r in rules.references):
+        errors.append("an estimate needs a reference" if rules.estimate else "a finance query needs an approved metric or template")
+    metrics = [r for r in rules.references if r.source == "metric"]
+    for m in metrics:
+        if not m.amount.strip():
+            errors.append("an approved metric has to declare its amount")
+        if not m.status_field.strip():
+            errors.append("an approved metric has to declare its status field")
+        if not any(c.strip() for c in m.status):
+            errors.append("an approved metric has to declare a condition on its status")
+            continue
+        if m.table.lower() not in query.tables:
+            errors.append(f"the query doesn't read {m.table!r}, which the metric is of")
+            continue
+        wanted = [query.conditions(m.table, c) for c in m.status if c.strip()]
+        if not any(m.status_field.lower() in columns for _, columns in wanted):
+            errors.append("an approved metric's conditions have to be on its status field")
+        read = [leaf for leaf in query.lineage.leaves if leaf.table == m.table.lower()]
+        if not read or not all(keys <= leaf.holds for keys, _ in wanted for leaf in read):
+            errors.append("every approved condition on the status has to hold for all rows that are read")
+    used = {c for _, c in query.lineage.used}
+    for what, pattern, declared in (("amount", rules.amount, "amount"), ("status", rules.status, "status_field"), ("date", rules.date, "time_field")):
+        if not any(re.search(pattern, c, re.I) for c in used) and not any(getattr(m, declared) for m in metrics):
+            errors.append(f"a finance query has to use a field of {what}")
+    if not metrics:
+        held = [k for leaf in query.lineage.leaves for k in leaf.holds]
+        if not any(re.search(rules.status, k, re.I) and "?" not in k for k in held):
+            errors.append("a finance query has to filter a status field")
+    details = dict(rules.details)
+    for _, right in query.lineage.joins:
+        if any(leaf.table in details and details[leaf.table] not in leaf.grouped for leaf in right):
+            errors.append("details have to be summed by their document before they are joined")
+    shown = {c.lower() for c in query.output}
+    errors += [f"the column {c!r} is missing, which explains the scope" for c in rules.scope_columns if c.lower() not in shown]
+    return list(dict.fromkeys(errors))
+
+
+def guarded(
+    spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dict | None = None, tenant: str | None = None, most: int | None = None, finance: Finance | None = None
+) -> DataFrame:
+    """A single query over the given tables only, with bound parameters, as a DataFrame.
+
+    What it reads and computes is told from Spark's resolved plan: each operator and expression has to be of a listed class.
+    The tenant column must be among its columns, as a table's own column, in a query without set operations, and is not
+    compared with a placeholder; a query that is not an aggregate itself is limited. With `finance`, its rules hold too.
     """
-    text = bare(sql).strip()
-    if ";" in text.rstrip(";") or not re.match(r"(?i)(select|with)\b", text):
-        raise PlanError("only one SELECT may run")
-    if found := re.search(rf"(?i)\b({'|'.join(BANNED)})\b(?!\s*\.)", text):
-        raise PlanError(f"{found[0]!r} may not be used")
-    sql = sql.strip().rstrip(";")
-    known = {t.lower(): t for t in tables}
-    used = relations(spark, sql)
-    if unknown := used - known.keys():
-        raise PlanError(f"table {sorted(unknown)[0]!r} is not known")
-    before = {t: spark.table(t) for t in used if any(v.name.lower() == t and v.isTemporary for v in spark.catalog.listTables())}
-    try:
-        for name in used:
-            tables[known[name]].createOrReplaceTempView(name)
-        df = spark.sql(sql, args=args or {})
-        df.schema  # noqa: B018  analysis fails here for unknown columns
-    finally:
-        for name in used:
-            spark.catalog.dropTempView(name)
-            if name in before:
-                before[name].createOrReplaceTempView(name)
-    plan = df._jdf.queryExecution().analyzed()
-    if tenant and (_combined(plan) or not _own_column(plan, tenant)):
+    query = Inspected(spark, sql, tables, args)
+    if tenant and (_combined(query.plan) or not query.own_columns(tenant)):
         raise PlanError(f"the result lacks the tenant column {tenant!r}")
-    return df if most is None or _grouped(plan) else df.limit(most)
+    if tenant and any(tenant.lower() in columns and value.lower() in PLACEHOLDERS for columns, value in query.lineage.literals):
+        raise PlanError("a placeholder stands for the tenant; leave the condition out, the scope limits tenants")
+    if finance and (errors := finance_errors(query, finance)):
+        raise PlanError("; ".join(errors))
+    df = query.dataframe(spark)
+    return df if most is None or _grouped(query.plan) else df.limit(most)
 
 
 def columns(df: DataFrame) -> list[dict]:
