@@ -160,3 +160,54 @@ WITH RECURSIVE {_CRC},
      ranked AS (SELECT n, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS many FROM scored WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= many * 10 // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (n)
 """
+
+
+def _least(*options: str) -> str:
+    """The least of (cost, audit) structs."""
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _then(cost: str, letter: str, after: str) -> str:
+    return f"{{'c': {cost} + {after}.c, 's': '{letter}' || {after}.s}}"
+
+
+def _state(own: str, keep: dict[str, str], other: str) -> str:
+    """A state's cheapest edits from a row on, from those after it: `keep` says which initials may stay and where they lead."""
+    stay = " ".join(f"WHEN NOT bad AND initial = '{i}' THEN {_then('open', 'K', to)}" for i, to in keep.items())
+    never = "{'c': 1000000000, 's': ''}"
+    return _least(_then("2", "D", own), f"CASE {stay} ELSE {never} END", f"CASE WHEN bad THEN {never} ELSE {_then('1 + open', 'R', other)} END")
+
+
+# Cheapest edits from each row on, from a conversation's last row to its first, by state: nothing yet (b), system (y), user (u), assistant (a).
+ORACLES["op12_structure_repair"] = f"""
+WITH RECURSIVE {_CRC},
+     every AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+     damage AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(CAST(v.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+                FROM conversations v JOIN every e ON v.conv_id IS NOT DISTINCT FROM e.conv_id, crc_table),
+     r AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+           FROM damage WHERE kind <> 0),
+     n AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY c) AS many,
+                  left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM r),
+     f AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again FROM n),
+     g AS (SELECT *, blank OR again AS bad, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut_off,
+                  CASE WHEN NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS open,
+                  lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM f),
+     dp AS (SELECT c, many + 1 AS i, {{'c': 0, 's': ''}} AS b, {{'c': 10, 's': 'II'}} AS y, {{'c': 5, 's': 'I'}} AS u, {{'c': 0, 's': ''}} AS a FROM g WHERE i = 1
+            UNION ALL
+            SELECT c, i, {_least("b", _then("5", "I", "u1"))}, {_least("y", _then("5", "I", "u1"))}, u1, {_least("a", _then("5", "I", "u"))}
+            FROM (SELECT *, {_least("u", _then("5", "I", "a"))} AS u1
+                  FROM (SELECT dp.c, g.i, {_state("b", {"s": "y", "u": "u"}, "u")} AS b, {_state("y", {"u": "u"}, "u")} AS y, {_state("u", {"a": "a"}, "a")} AS u, {_state("a", {"u": "u"}, "u")} AS a
+                        FROM dp JOIN g ON g.c = dp.c AND g.i = dp.i - 1))),
+     best AS (SELECT c, b.c AS cost, b.s AS audit FROM dp WHERE i = 1),
+     letters AS (SELECT c, k, substr(audit, CAST(k AS INT), 1) AS letter, length(replace(audit, 'D', '')) AS many FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS k FROM best)),
+     placed AS (SELECT *, sum(CASE letter WHEN 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY k) AS i, sum(CASE letter WHEN 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY k) AS j FROM letters),
+     fixed AS (SELECT p.c, k, CASE letter WHEN 'K' THEN role || ':' || text ELSE CASE WHEN (j + p.many) % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'R' THEN text ELSE '' END END AS line
+               FROM placed p LEFT JOIN g ON g.c = p.c AND g.i = p.i WHERE letter <> 'D'),
+     sealed AS (SELECT c, sha256(string_agg(line, chr(10) ORDER BY k)) AS h FROM fixed GROUP BY 1),
+     counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut_off) AS truncated,
+                       count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM every LEFT JOIN counts USING (c) LEFT JOIN best USING (c) LEFT JOIN sealed USING (c)
+"""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import repair
-from quarry.llm.registry import QUERIES
+from quarry.llm.registry import ORACLES, QUERIES
 from quarry.sources.tables import table
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -144,3 +144,15 @@ def test_cases(spark):
     assert found[gone] == (0, 0, 0, 0, 0, 0, "", empty)
     want = {c: judged(r) for c, r in by_rows(damaged_by_force(rows)).items()}
     assert found == {gone: found[gone]} | want
+
+
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    cursor = con.execute(ORACLES["op12_structure_repair"])
+    names = [d[0] for d in cursor.description]
+    df = QUERIES["op12_structure_repair"](spark, sf_dir)
+    assert df.columns == names
+    assert sorted(map(tuple, df.collect())) == sorted(cursor.fetchall())
