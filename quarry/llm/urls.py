@@ -51,9 +51,16 @@ def fitting(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+#: A tag that may link, up to its end or that of the page; what it has matched isn't tried again, so a page takes one pass.
+TAG = r"(?i)<(?:a|area|link)\b[^>]*+"
+#: The host of a tag's first link to another place.
+TARGET = r"""(?i)\bhref\s*+=\s*+["']?(?:https?:)?//([^/?#"'\s>]*)"""
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Links between different hosts in the pages' html: src, dst, n."""
-    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<(?:a|area|link)\b[^>]*?\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]*)"""), F.lit(1))
+    """Links between different hosts in the pages' html: src, dst, n. A tag that isn't closed reaches to the next `>` and is one link."""
+    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAG), F.lit(0))
+    targets = F.transform(tags, lambda t: F.regexp_extract(t, TARGET, 1))
     return (
         pages.select("host", F.explode(targets).alias("to"))
         .select(F.col("host").alias("src"), F.translate("to", UPPER, LOWER).alias("dst"))

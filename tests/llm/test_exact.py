@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, language, nearjoin, packing, quality, sentences, suffixes, topk, urls
+from quarry.sources.tables import table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -504,6 +505,60 @@ def test_distrust_reaches_hosts_many_links_away(spark):
         assert got[k].verdict == "block" and got[k].distrust == pytest.approx(0.15 * 0.85**k)
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a href=", '<a href="', "<a href  ", "<area title='", "<link href = //x "])
+def test_links_of_broken_pages_are_found_in_one_pass(spark, part):
+    import time
+
+    page = part * ((2 << 20) // len(part)) + '><a class="y" href="//last.com/x">'
+    df = spark.createDataFrame([("here.com", page)], "host string, html string")
+    began = time.perf_counter()
+    got = {r.dst for r in urls.links(df).collect()}
+    assert time.perf_counter() - began < 20 and "last.com" in got
+
+
+def test_scores_of_a_random_graph_are_those_of_power_iteration(spark):
+    rng = np.random.default_rng(6)
+    n = 40
+    counts = np.where(rng.random((n, n)) < 0.08, rng.integers(1, 4, (n, n)), 0)
+    np.fill_diagonal(counts, 0)
+    name = [f"h{i}.{'net' if i < 3 else 'org' if i < 8 else 'com'}" for i in range(n)]
+    page = ["".join(f'<a x href="https://{name[j]}/p">' * int(counts[i, j]) for j in range(n)) for i in range(n)]
+    rows = [(i, f"http://{name[i]}/{'fr/' if 3 <= i < 8 else ''}", page[i]) for i in range(n)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    def power(weights, seeds):
+        share = weights / np.maximum(weights.sum(1, keepdims=True), 1)
+        seed = seeds / seeds.sum()
+        score = seed
+        for _ in range(500):
+            score = 0.15 * seed + 0.85 * share.T @ score
+        return score
+
+    trust = power(counts, np.array([3.0 * 0 + (3 <= i < 8) for i in range(n)]))
+    distrust = power(counts.T, np.array([float(i < 3) for i in range(n)]))
+    for i in range(n):
+        assert got[i].trust == pytest.approx(trust[i], abs=1e-5) and got[i].distrust == pytest.approx(distrust[i], abs=1e-5)
+        want = "block" if i < 3 else "allow" if i < 8 else "block" if distrust[i] > max(trust[i], 1e-3 / n) else "allow"
+        assert got[i].verdict == want
+    assert sum(r.verdict == "block" for r in got.values()) > 5
+
+
+def test_hosts_paths_and_rules_are_those_of_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    want = con.execute(r"""
+        WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+             rules(h, x) AS (VALUES ('net', '/'), ('example.net', '/en/'), ('example.com', '/de/'), ('org', '/fr/')),
+             f AS (SELECT page_id, h || x AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(h || x) DESC) AS k
+                   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x))
+        SELECT p.page_id, host, path, rule FROM p LEFT JOIN f ON f.page_id = p.page_id AND k = 1""").fetchall()
+    got = [tuple(r) for r in urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({r[3] for r in got}) > 2
+
+
 def test_verdicts_do_not_depend_on_how_many_hosts_there_are(spark):
     rows = [(1, "http://bad.net/", ""), (2, "http://farm.com/", '<a href="http://bad.net/">l</a>'), (3, "http://alone.com/", "")]
     often = [(10 * k + i, u.replace("://", f"://h{k}-"), h.replace("://", f"://h{k}-")) for k in range(300) for i, u, h in rows]
