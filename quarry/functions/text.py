@@ -148,6 +148,21 @@ def question_tokens(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"^[\x{4E00}-\x{9FA5}]"), F.concat(F.array(w), pairs(w))).otherwise(F.array(w)))))
 
 
+#: Characters of a Chinese run of which every part is a token of an index; longer parts are found whole runs only.
+LONGEST_PART = 8
+
+
+def index_tokens(c: Column) -> Column:
+    """What an index holds of a text: lower-case words of letters and digits, their leading letters-with-digits and numbers, and each part of 2 to 8 characters of Chinese runs, and the runs."""
+    low = F.lower(c)
+    words = F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), F.lit(1))
+    parts = F.regexp_extract_all(low, F.lit(r"([a-z]+[0-9]*|[0-9]+)"), F.lit(1))
+    chinese = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FA5}]{2,})"), F.lit(1))
+    cut = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array())
+    pieces = F.flatten(F.transform(chinese, lambda w: F.concat(F.array(w), *[cut(w, n) for n in range(2, LONGEST_PART + 1)])))
+    return F.array_distinct(F.concat(words, parts, pieces))
+
+
 def bigrams(c: Column) -> Column:
     n = F.length(c)
     return F.when(n < 2, F.array()).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))

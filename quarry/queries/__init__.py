@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.queries import documents, metrics, records, relational
+from quarry.queries import documents, metrics, records, relational, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "metric_order_amount_by_category_month"
-for _module in (metrics, relational, documents, records):
+for _module in (metrics, relational, documents, records, retrieval):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

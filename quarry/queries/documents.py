@@ -234,38 +234,6 @@ def width_closeness(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(sc.closeness(F.col("p_size") * 40.0, F.lit(1000.0)), 6).alias("closeness"))
 
 
-_ARCHIVE_SQL = """WITH s AS (SELECT p_partkey, floor(least(1.0, greatest(0.0, CASE WHEN contains(lower(p_type), 'plated steel') THEN 0.12 ELSE 0.0 END
-      + 0.18 * (len(list_intersect(['standard', 'plated', 'steel'], list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')))) / 3.0)
-      + CASE WHEN starts_with(p_type, 'STANDARD') THEN 0.20 ELSE 0.0 END + CASE WHEN ends_with(p_type, 'STEEL') THEN 0.18 ELSE 0.0 END + CASE WHEN p_brand = 'Brand#12' THEN 0.14 ELSE 0.0 END
-      + 0.20 * (1 - least(abs(p_size * 40.0 - 1000) / 100.0, 1.0)) + CASE WHEN p_retailprice > 1000 THEN 0.03 ELSE 0.0 END + CASE WHEN p_size > 10 THEN 0.03 ELSE 0.0 END + CASE WHEN p_size > 30 THEN 0.02 ELSE 0.0 END)) * 1000 + 0.5) / 1000 AS score FROM part)
-    SELECT p_partkey, score FROM s ORDER BY score DESC, p_partkey DESC LIMIT 50"""
-
-
-@R.query("archive_rank", _ARCHIVE_SQL)
-def archive_rank(spark, sf_dir):
-    kind, size = F.col("p_type"), F.col("p_size")
-    wanted = F.array(F.lit("standard"), F.lit("plated"), F.lit("steel"))
-    score = sc.item_score(
-        F.lower(kind).contains("plated steel"), sc.token_ratio(wanted, tx.tokens(kind)), kind.startswith("STANDARD"), kind.endswith("STEEL"), F.col("p_brand") == "Brand#12",
-        sc.closeness(size * 40.0, F.lit(1000.0)), (F.col("p_retailprice") > 1000, size > 10, size > 30),
-    )
-    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).orderBy(F.desc("score"), F.desc("p_partkey")).limit(50)
-
-
-@R.query(
-    "reference_rank",
-    """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, lang, source, n_chars FROM documents),
-       s AS (SELECT doc_id, floor(least(1.0, greatest(0.0, CASE WHEN lang = 'en' THEN 0.25 ELSE 0.0 END + CASE WHEN source = 'src3' THEN 0.18 ELSE 0.0 END + 0.35 * (len(list_intersect(['license', 'version', 'under', 'apache'], w)) / 4.0)
-       + least(0.16, 0.08 * (n_chars % 3)) + least(0.12, 0.04 * (n_chars % 5)) + CASE WHEN n_chars > 2000 THEN 0.20 ELSE 0.0 END + 0.0 + CASE WHEN doc_id % 2 = 0 THEN 0.03 ELSE 0.0 END)) * 10000 + 0.5) / 10000 AS score FROM d)
-       SELECT doc_id, score FROM s ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 10""",
-)
-def reference_rank(spark, sf_dir):
-    ratio = sc.words_ratio(F.coalesce("text", F.lit("")), ("license", "version", "under", "apache"))
-    n = F.col("n_chars")
-    score = sc.reference_score(F.col("lang") == "en", F.col("source") == "src3", ratio, n % 3, n % 5, n > 2000, F.lit(False), F.col("doc_id") % 2 == 0)
-    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), F.col("doc_id").cast("string")).limit(10)
-
-
 @R.query(
     "schema_relevance",
     "SELECT p_brand AS name, max(CASE WHEN lower(p_brand) = 'brand#12' THEN 60 WHEN contains(lower(p_brand), '12') THEN 35 ELSE 0 END) + sum(CASE WHEN contains(lower(p_type), 'steel') THEN 20 ELSE 0 END) AS score FROM part GROUP BY 1",
