@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def keep_best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -96,24 +99,61 @@ def probe(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
     return some.orderBy(*order).limit(most).join(n, how="cross")  # one row
 
 
-def nearest_rank(df: DataFrame, group: list[str], column: str, q: float, parts: int = 1024) -> DataFrame:
-    """The value at place floor((n - 1) * q) of the sorted numbers of each group: exact, by counts of values; nulls come first.
+#: Distinct values of a group that are put in order in one task.
+ORDERED = 100_000
+DIGIT = 16
+_LEAST = -(1 << 63)
 
-    Counts are summed by `parts` ranges of equal width between a group's least and greatest value, which tells the range that
-    holds the place; only the values of that one are put in order. So a group is spread over tasks until one range is left.
+
+@F.pandas_udf(LongType())
+def _bits(s: pd.Series) -> pd.Series:
+    """The bits of doubles as whole numbers in the order of their values; Spark has no function for a double's bits."""
+    x = s.to_numpy(np.float64)
+    bits = x.view(np.int64)
+    signed = np.where(bits < 0, -(bits & np.int64((1 << 63) - 1)), bits)
+    return pd.Series(np.where(np.isnan(x), np.int64((1 << 63) - 1), signed))
+
+
+def ordered_bits(c: Column, kind: str) -> Column:
+    """A 64-bit whole number in the order of a column's values, -infinity to infinity, then NaN. Equal values have equal numbers."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return c.cast("long")
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_date(c).cast("long") if kind == "date" else F.unix_micros(c.cast("timestamp"))
+    if kind.startswith("decimal(") and int(kind[8:].split(",")[0]) <= 18:
+        return (c * F.lit(10 ** int(kind[:-1].split(",")[1])).cast("decimal(19,0)")).cast("long")
+    if kind not in ("float", "double"):
+        raise ValueError(f"values of type {kind} have no order by bits")
+    return _bits(c.cast("double"))
+
+
+def nearest_rank(df: DataFrame, group: list[str], column: str, q: float, ordered: int = ORDERED) -> DataFrame:
+    """The value at place floor((n - 1) * q) of the sorted numbers of each group: exact; nulls come first, NaN last.
+
+    Equal values are counted first. Groups of at most `ordered` values are put in order. In larger ones the place is found
+    digit by digit: values are whole numbers of 64 bits in the same order, and four counts, each of at most 65,536 digits a
+    group, leave one value; no task gets a group's values, however they are spread.
     """
-    counts = df.groupBy(*group, column).agg(F.count("*").alias("n"))
-    ends = counts.groupBy(*group).agg(F.min(column).alias("low"), F.max(column).alias("high"), F.sum("n").alias("all"))
-    c, e = counts.alias("c"), ends.alias("e")
-    wide = (F.col("high") - F.col("low")).cast("double")
-    part = F.when(F.col(f"c.{column}").isNull(), -1).when(wide > 0, F.least(F.lit(parts - 1), F.floor((F.col(f"c.{column}") - F.col("low")) / wide * parts))).otherwise(0)
-    own = [F.col(f"c.{g}").alias(g) for g in group]
-    placed = c.join(e, [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group]).select(*own, F.col(f"c.{column}").alias(column), "n", "all", part.alias("part"))
-    sums = placed.groupBy(*group, "part").agg(F.sum("n").alias("sum"), F.first("all").alias("all"))
-    before = F.sum("sum").over(Window.partitionBy(*group).orderBy("part")) - F.col("sum")  # at most `parts` rows of a group
-    target = F.floor((F.col("all") - 1) * q)
-    hit = sums.withColumn("before", before).where((F.col("before") <= target) & (target < F.col("before") + F.col("sum"))).select(*group, "part", "before")
-    p, h = placed.alias("p"), hit.alias("h")
-    inside = p.join(h, [*[F.col(f"p.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group], F.col("p.part") == F.col("h.part")]).select(*[F.col(f"p.{g}").alias(g) for g in group], F.col(f"p.{column}").alias(column), "n", "all", "before")
-    below = F.col("before") + F.sum("n").over(Window.partitionBy(*group).orderBy(column)) - F.col("n")
-    return inside.withColumn("below", below).where((F.col("below") <= target) & (target < F.col("below") + F.col("n"))).select(*group, F.col(column).alias("quantile"))
+    kind = dict(df.dtypes)[column]
+    counts = df.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(column).alias("v")).groupBy(*[f"g{i}" for i in range(len(group))], "v").agg(F.count("*").alias("n"))
+    keys = [f"g{i}" for i in range(len(group))]
+    own = F.struct(*keys) if keys else F.struct(F.lit(1).alias("one"))
+    counts = counts.select(own.alias("g"), "v", "n")
+    nulls = F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0))
+    sizes = counts.groupBy("g").agg(F.count("*").alias("values"), (F.floor((F.sum("n") - 1) * q)).alias("target"), nulls.alias("nulls"))
+    small = counts.join(sizes.where(F.col("values") <= ordered), "g")
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("v")) - F.col("n")
+    found = small.withColumn("before", before).where((F.col("before") <= F.col("target")) & (F.col("target") < F.col("before") + F.col("n"))).select("g", "v")
+    many = sizes.where(F.col("values") > ordered)
+    large = counts.where(F.col("v").isNotNull()).join(many.select("g"), "g", "left_semi").withColumn("bits", ordered_bits(F.col("v"), kind).bitwiseXOR(F.lit(_LEAST)))
+    state = many.where(F.col("target") >= F.col("nulls")).select("g", (F.col("target") - F.col("nulls")).alias("target"), F.lit(0).cast("long").alias("prefix"))
+    found = found.unionByName(many.where(F.col("target") < F.col("nulls")).select("g", F.lit(None).cast(kind).alias("v")))
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        above = F.shiftrightunsigned("bits", shift + DIGIT) if shift + DIGIT < 64 else F.lit(0).cast("long")
+        inside = large.withColumn("above", above).join(state, "g").where(F.col("above") == F.col("prefix"))
+        digits = inside.groupBy("g", F.shiftrightunsigned("bits", shift).alias("digit")).agg(F.sum("n").alias("n"), F.first("target").alias("target"))
+        before = F.sum("n").over(Window.partitionBy("g").orderBy("digit")) - F.col("n")
+        hit = digits.withColumn("before", before).where((F.col("before") <= F.col("target")) & (F.col("target") < F.col("before") + F.col("n")))
+        state = hit.select("g", (F.col("target") - F.col("before")).alias("target"), F.col("digit").alias("prefix"))
+    exact = large.join(state.select("g", F.col("prefix").alias("bits")), ["g", "bits"]).groupBy("g").agg(F.min("v").alias("v"))
+    return found.unionByName(exact).select(*[F.col(f"g.g{i}").alias(g) for i, g in enumerate(group)], F.col("v").alias("quantile"))

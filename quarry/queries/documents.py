@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import documents as dj
 from quarry.functions import scoring as sc
 from quarry.functions import text as tx
-from quarry.operators.matching import GAP, assign
+from quarry.operators.matching import GAP, assign_all
 from quarry.queries.registry import Registry
 from quarry.sources.tables import table
 
@@ -340,7 +340,20 @@ def family_score(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("family")).agg(F.round(F.avg("p_size") / 50.0 * 0.6 + F.least(F.lit(1.0), F.count("*") / 20.0) * 0.4, 6).alias("score"))
 
 
-@R.query("alias_gap")
+def _similar(a: str, b: str) -> str:
+    """SQL of `tx.similarity` of two texts without nulls."""
+    grams = lambda c: f"list_distinct(CASE WHEN length({c}) < 2 THEN [] ELSE [substr({c}, i, 2) for i in range(1, length({c}))] END)"
+    dice = f"coalesce(2 * len(list_intersect({grams(a)}, {grams(b)})) / CAST(nullif(len({grams(a)}) + len({grams(b)}), 0) AS DOUBLE), 0.0e0)"
+    inside = f"least(length({a}), length({b})) > 0 AND (contains({a}, {b}) OR contains({b}, {a}))"
+    return f"CASE WHEN {a} = {b} THEN 1.0e0 WHEN {inside} THEN 0.65e0 + 0.3e0 * least(length({a}), length({b})) / greatest(length({a}), length({b})) ELSE {dice} END"
+
+
+@R.query(
+    "alias_gap",
+    f"""WITH p AS (SELECT p_partkey, lower(p_name) AS name, min(lower(p_name)) OVER (PARTITION BY p_brand) AS anchor FROM part),
+             s AS (SELECT p_partkey, anchor, round({_similar("name", "anchor")}, 6) AS similarity FROM p WHERE name <> anchor)
+        SELECT p_partkey, anchor, similarity FROM s WHERE similarity >= 0.35""",
+)
 def alias_gap(spark, sf_dir):
     """Names that are like the first of their brand, yet not equal: a brand has one anchor, so this is an equi-join."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower("p_name").alias("name"))
@@ -349,7 +362,28 @@ def alias_gap(spark, sf_dir):
     return both.select("p_partkey", "anchor", F.round(tx.similarity(F.col("name"), F.col("anchor")), 6).alias("similarity")).where("similarity >= 0.35")
 
 
-@R.query("greedy_assignment")
+_GREEDY_SQL = f"""
+WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS place
+                     FROM lineitem WHERE l_returnflag = 'A'),
+     n AS (SELECT l.*, lower(p_type) AS kind FROM l JOIN part ON p_partkey = l_partkey),
+     kinds AS (SELECT DISTINCT a.kind AS a, b.kind AS b FROM n a JOIN n b USING (l_orderkey)),
+     alike AS (SELECT a, b, {_similar("a", "b")} AS x FROM kinds),
+     pairs AS (SELECT c.l_orderkey, c.place AS clue, n.place AS line, n.l_linenumber, n.l_partkey, n.l_suppkey,
+                      floor(least(0.99e0, 0.5e0 * x + CASE WHEN n.l_quantity = c.l_quantity THEN 0.45e0 ELSE 0.0e0 END) * 100 + 0.5) / 100 AS score
+               FROM n c JOIN n ON n.l_orderkey = c.l_orderkey JOIN alike ON a = n.kind AND b = c.kind),
+     seen AS (SELECT *, coalesce(score - lead(score) OVER (PARTITION BY l_orderkey, clue ORDER BY score DESC, line) >= 0.12, true) AS clear FROM pairs),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, clue, line) AS k FROM seen WHERE score >= 0.45),
+     taken AS (SELECT l_orderkey, CAST(0 AS BIGINT) AS k, false AS ok, CAST([] AS BIGINT[]) AS clues, CAST([] AS BIGINT[]) AS lines FROM ranked WHERE k = 1
+               UNION ALL
+               SELECT t.l_orderkey, r.k, NOT list_contains(clues, clue) AND NOT list_contains(lines, line),
+                      CASE WHEN NOT list_contains(clues, clue) AND NOT list_contains(lines, line) THEN list_append(clues, clue) ELSE clues END,
+                      CASE WHEN NOT list_contains(clues, clue) AND NOT list_contains(lines, line) THEN list_append(lines, line) ELSE lines END
+               FROM taken t JOIN ranked r ON r.l_orderkey = t.l_orderkey AND r.k = t.k + 1)
+SELECT r.l_orderkey, r.clue, r.line, r.l_linenumber, r.l_partkey, r.l_suppkey, r.score, r.clear FROM taken JOIN ranked r USING (l_orderkey, k) WHERE ok
+"""
+
+
+@R.query("greedy_assignment", _GREEDY_SQL)
 def greedy(spark, sf_dir):
     """Lines of an order matched one to one with the parts it names, by similarity of name and quantity; ambiguous where the next best is near.
 
@@ -372,7 +406,7 @@ def greedy(spark, sf_dir):
     pairs = pairs.select("l_orderkey", "clue", F.col("l.place").alias("line"), *[F.col(f"l.{c}").alias(c) for c in key], "score")
     ahead = F.lead("score").over(Window.partitionBy("l_orderkey", "clue").orderBy(F.desc("score"), "line"))
     pairs = pairs.withColumn("clear", F.coalesce(F.col("score") - ahead >= GAP, F.lit(True)))
-    return assign(pairs, "l_orderkey", "clue", "line", "score")
+    return assign_all(pairs, "l_orderkey", "clue", "line", "score")
 
 
 # Evaluation

@@ -39,3 +39,9 @@ def fingerprint(df: DataFrame, *more: str) -> str:
     for m in more:
         state.update(m.encode() + b"\n")
     return state.hexdigest()[:24]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, so that neither lost executors nor later rounds compute them again."""
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
