@@ -18,8 +18,8 @@ EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
 SECRET = "(?i)(password|token|secret|api[_-]?key)\\s*[:=]\\s*\\S+"
 IDENTITY = "[0-9]{15,18}"
 PHONE = "\\+?[0-9][0-9 -]{8,13}[0-9]"
-# Words about how exact a number is, which are no part of its unit.
-ABOUT = "以内|以下|左右|大约|约|可调"
+# Words about how exact a number is, which are no part of its unit.
+ABOUT = "以内|以下|左右|约|大约|可调"
 # Digits and steps of Chinese numerals, with their formal forms.
 CHINESE_DIGITS = {"零": 0, "〇": 0, "一": 1, "壹": 1, "二": 2, "贰": 2, "两": 2, "三": 3, "叁": 3, "四": 4, "肆": 4, "五": 5, "伍": 5, "六": 6, "陆": 6, "七": 7, "柒": 7, "八": 8, "捌": 8, "九": 9, "玖": 9}
 CHINESE_STEPS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000}

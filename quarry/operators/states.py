@@ -11,6 +11,7 @@ LEDGER = "duplicates canonical_id has_blocks extraction_id extraction_status has
 STAGES = {"pending_blocks": "uploaded", "pending_extraction": "blocks_ready", "planned": "planned", "needs_reextract": "raw_extracted", "duplicate_reference": "duplicate", "archived": "archived"}
 
 
+# Fixed order: the first outcome that holds is the state.
 def terminal_state() -> Column:
     """The first of twelve outcomes that holds, from the columns of `LEDGER`."""
     c = {name: F.col(name) for name in LEDGER}
@@ -43,19 +44,24 @@ PLACED = "(上模|下模|左侧|右侧|前段|后段|入口|出口|内层|外层
 OF_DOCUMENT = "(合同|订单|客户|国家|日期|交期|交货|地址|联系人|电话)"
 SEVERAL = "(第[一二三四五六七八九十0-9]+套|[0-9]+#|[一二三四五六七八九十0-9]+号|多套|多台)"
 NO_FIELD = "^(备注|说明|序号|编号|客户|合同|订单|日期|签字|审核|制表)$"
-PARTED = "[、，,;；/／|]"
+COMPOSITE = "[+＋、，,/／|]|(?:及|和|与|或|;|；)"
+MEASURE = r"(?i)[0-9]+(?:\.[0-9]+)?\s*(mm|毫米|cm|m|kg|g|mpa|bar|kw|w|v|ccm|rpm|℃|度)"
+RATE = "(?i)^(?:kg/h|ml/min|m/min|l/min|n/m|g/10min)$"
+LISTED = "[、，,/／|]"
 
 
-def issues(kind: Column, field: Column, value: Column, term: Column, scope: Column, split: Column, known: Column) -> Column:
+def issues(kind: Column, field: Column, value: Column, term: Column, scope: Column, split: Column, known: Column, source: Column | None = None) -> Column:
     """array<struct(detector, relation, action, confidence, risk)> of what is wrong with a candidate, surest first.
 
     kind: term_type or value; term: the type that a value is for; known: types in whose dictionaries the name or value is;
-    split: whether the value is a part of another already.
+    split: whether the value is a part of another already; source: the text that the value was taken from.
     """
     field, value = F.trim(F.coalesce(field, F.lit(""))), F.trim(F.coalesce(value, F.lit("")))
     both = F.concat_ws(" ", field, value)
     is_value, known = kind == "value", F.coalesce(known, F.array().cast("array<string>"))
-    rate = F.regexp_replace(value, r"\s+", "").rlike(r"^[0-9.]*[A-Za-z³²℃]+/[A-Za-z]+$")
+    whole = F.concat_ws(" ", F.nullif(value, F.lit("")), F.nullif(F.trim(source), F.lit("")) if source is not None else F.lit(None).cast("string"))
+    one_thing = F.regexp_replace(value, r"\s+", "").rlike(RATE) | (value.rlike(MEASURE) & ~value.rlike(LISTED))
+    parted = (value != "") & whole.rlike(COMPOSITE) & ~F.coalesce(split, F.lit(False)) & ~one_thing
     found = [
         (is_value & value.rlike(PLACEHOLDER), "placeholder_value", "non_config_noise", "mark_non_config", 0.88, "low"),
         ((kind == "term_type") & (F.size(known) > 0) & (F.coalesce(F.nullif(field, F.lit("")), value) != ""), "value_as_type", "value_as_type", "send_to_review", 0.86, "medium"),
@@ -63,7 +69,7 @@ def issues(kind: Column, field: Column, value: Column, term: Column, scope: Colu
         (both.rlike(OF_DOCUMENT) & ~scope.eqNullSafe(F.lit("document")), "scope_contamination", "wrong_scope", "move_scope", 0.82, "high"),
         (field.rlike(NO_FIELD) | ((F.length(field) <= 2) & (value == "")), "non_config_noise", "non_config_noise", "mark_non_config", 0.80, "low"),
         (both.rlike(PLACED), "qualifier_variant", "qualifier_variant", "map_as_qualifier_variant", 0.78, "medium"),
-        (is_value & value.rlike(PARTED) & ~F.coalesce(split, F.lit(False)) & ~rate, "composite_value", "composite_value", "split_value", 0.78, "medium"),
+        (is_value & parted, "composite_value", "composite_value", "split_value", 0.78, "medium"),
         (both.rlike(SEVERAL), "multi_item", "extraction_error", "mark_extraction_error", 0.76, "medium"),
     ]
     one = lambda x: F.struct(*[F.lit(v).alias(n) for v, n in zip(x[1:], ("detector", "relation", "action", "confidence", "risk"), strict=True)])

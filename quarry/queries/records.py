@@ -143,16 +143,21 @@ def progress_ledger(spark, sf_dir):
 @R.query(
     "candidate_issues",
     """SELECT p_partkey, ['placeholder_value:0.88', 'value_as_type:0.86', 'cross_term_type:0.83', 'scope_contamination:0.82', 'non_config_noise:0.8', 'qualifier_variant:0.78', 'composite_value:0.78', 'multi_item:0.76', '',
-      'scope_contamination:0.82,non_config_noise:0.8,qualifier_variant:0.78,composite_value:0.78'][p_partkey % 10 + 1] AS issues FROM part""",
+      'scope_contamination:0.82,non_config_noise:0.8,qualifier_variant:0.78,composite_value:0.78', 'composite_value:0.78', '', 'composite_value:0.78', CASE WHEN p_size % 2 = 0 THEN 'composite_value:0.78' ELSE '' END][p_partkey % 14 + 1] AS issues FROM part""",
 )
 def candidate_issues(spark, sf_dir):
-    """Each detector's own shape, a rate that is no list, and a candidate with four issues."""
+    """Each detector's own shape, with the parts' own names and sizes; a unit and measures that are one thing, values joined by a word, and one whose source is a list."""
     c = lambda *x: shape("p_partkey", *x)
-    kind = c("value", "term_type", *["value"] * 8)
-    field = c("颜色", "红色", "width", "合同号", "备注", "左侧宽度", "material", "部件", "flow", "订单")
-    value = c("未填写", F.col("p_brand"), F.col("p_size").cast("string"), "A1", "x", "30", "steel、iron", "2号", "12 kg/h", "左侧 a/b")
-    known = F.when(F.col("p_partkey") % 10 == 1, F.array(F.lit("color"))).when(F.col("p_partkey") % 10 == 2, F.array(F.lit("height"), F.lit("width")))
-    found = states.issues(kind, field, value, F.lit("width"), F.lit("item"), F.lit(False), known)
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    kind = c("value", "term_type", *["value"] * 12)
+    field = c("颜色", F.concat(name, F.lit("色")), "width", F.concat(F.lit("合同号"), size), "备注", "左侧宽度", "material", "部件", "flow", "订单", "material", "length", "flow", "material")
+    value = c(
+        "未填写", F.col("p_brand"), size, size, name, size, F.concat(name, F.lit("、"), F.col("p_type")), F.concat(size, F.lit("号")), "kg / h", F.concat(F.lit("左侧 "), name, F.lit("/"), size),
+        F.concat(name, F.lit("和"), F.col("p_type")), F.concat(size, F.lit("mm;"), size, F.lit("mm")), F.concat(size, F.lit(" kg/h")), name,
+    )
+    known = F.when(F.col("p_partkey") % 14 == 1, F.array(F.lit("color"))).when(F.col("p_partkey") % 14 == 2, F.array(F.lit("height"), F.lit("width")))
+    source = F.when((F.col("p_partkey") % 14 == 13) & (F.col("p_size") % 2 == 0), F.concat(name, F.lit("+"), F.col("p_type")))
+    found = states.issues(kind, field, value, F.lit("width"), F.lit("item"), F.lit(False), known, source)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(found, lambda i: F.concat_ws(":", i["detector"], i["confidence"].cast("string"))), ",").alias("issues"))
 
 

@@ -58,6 +58,9 @@ def test_issues_sorted_by_confidence(spark):
     row = spark.createDataFrame([("value", "订单", "左侧 a/b", "width", None, False, ["height"])], "kind string, field string, value string, term string, scope string, split boolean, known array<string>")
     got = row.select(states.issues(*[F.col(c) for c in row.columns]).alias("i")).first().i
     assert [i.detector for i in got] == ["cross_term_type", "scope_contamination", "non_config_noise", "qualifier_variant", "composite_value"]
+    for value, source, composite in (("钢和铝", None, True), ("钢+铝", None, True), ("10mm;20mm", None, False), ("10mm、20mm", None, True), ("kg/h", None, False), ("12 kg/h", None, True), ("steel", "steel, iron", True), ("", "a,b", False)):
+        one = spark.createDataFrame([("value", "field", value, "f", "item", False, None, source)], "kind string, field string, value string, term string, scope string, split boolean, known array<string>, source string")
+        assert ("composite_value" in [i.detector for i in one.select(states.issues(*[F.col(c) for c in one.columns]).alias("i")).first().i]) is composite, value
     nothing = spark.createDataFrame([("value", "flow", "3", "flow", "item", None, None)], row.schema)
     assert nothing.select(states.issues(*[F.col(c) for c in row.columns]).alias("i")).first().i == []
 
