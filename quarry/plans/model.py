@@ -38,7 +38,7 @@ class Metric:
 
 @dataclass(frozen=True)
 class TimeRange:
-    """kind: current_year, year_to_date, first_half, current_month, previous_month, month (with value YYYY-MM), complete_months (with count)."""
+    """kind: current_year, year_to_date, first_half, current_month, previous_month, month (with value YYYY-MM), complete_months (with count), days (with count)."""
 
     kind: str
     value: str | None = None

@@ -41,6 +41,8 @@ def bounds(time: TimeRange, as_of: date, comparing: bool = False) -> tuple[date,
         return date(y, m, 1), months(date(y, m, 1), 1)
     if time.kind == "complete_months":
         return months(as_of, -time.count), months(as_of, 0)
+    if time.kind == "days":  # so many days up to and with today
+        return tomorrow - timedelta(time.count), tomorrow
     raise PlanError(f"unknown time range {time.kind!r}")
 
 
