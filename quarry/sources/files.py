@@ -48,12 +48,24 @@ def verify(files: DataFrame, sealed: DataFrame) -> DataFrame:
     return sealed.join(found, "name", "left").select("name", F.when(F.col("found_sha256").isNull(), "missing").when(same, "ok").otherwise("changed").alias("status"))
 
 
+# The report format's elements, and what query texts are flagged for.
+TABLE_DATA = r"(?is)(<TableData\b[^>]*>.*?</TableData>)"
+FORMULA = r"(?is)<Formula\b[^>]*>\s*<!\[CDATA\[(.*?)\]\]>\s*</Formula>"
+QUERY = r"(?is)<Query\b[^>]*>\s*<!\[CDATA\[(.*?)\]\]>\s*</Query>"
+DATABASE = r"(?is)<DatabaseName\b[^>]*>\s*<!\[CDATA\[(.*?)\]\]>\s*</DatabaseName>"
+PARAMETER = r"\$\{\s*([^}]+?)\s*\}"
+FLAGS = {"dynamic_param": PARAMETER, "non_select_keyword": r"(?i)\b(insert|update|delete|merge|drop|truncate|alter|create|exec|execute)\b", "string_concat_like": r"\+\s*\w+\s*\+"}
+
+
 def reports(files: DataFrame) -> DataFrame:
-    """Datasets in report XML (binaryFile rows): path, name, query, its parameters and hash."""
+    """Queries in report XML (binaryFile rows), of datasets and of formulas that are queries: path, kind, name, connection, query, parameters, flags, hash."""
     text = F.decode("content", "UTF-8")
-    block = F.explode(F.regexp_extract_all(text, F.lit(r'(?s)(<TableData name=".*?</TableData>)'), F.lit(1)))
-    rows = files.select("path", block.alias("block"))
-    query = F.trim(F.regexp_extract("block", r"(?s)<Query>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</Query>", 1))
-    return rows.select("path", F.regexp_extract("block", '<TableData name="([^"]*)"', 1).alias("name"), query.alias("query")).withColumns(
-        {"parameters": F.array_distinct(F.regexp_extract_all("query", F.lit(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}"), F.lit(1))), "hash": F.sha2("query", 256)}
-    )
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    datasets = F.transform(F.regexp_extract_all(text, F.lit(TABLE_DATA), F.lit(1)), lambda b: F.struct(
+        F.lit("query").alias("kind"), blank(F.regexp_extract(b, r'(?is)^<TableData\b[^>]*?\bname="([^"]*)"', 1)).alias("name"), blank(F.regexp_extract(b, DATABASE, 1)).alias("connection"), blank(F.regexp_extract(b, QUERY, 1)).alias("query")
+    ))
+    none = F.lit(None).cast("string")
+    formulas = F.transform(F.regexp_extract_all(text, F.lit(FORMULA), F.lit(1)), lambda q: F.struct(F.lit("formula_sql").alias("kind"), none.alias("name"), none.alias("connection"), F.when(q.rlike(r"(?i)^\s*(select|with)\b"), blank(q)).alias("query")))
+    rows = files.select("path", F.explode(F.concat(datasets, formulas)).alias("d")).select("path", "d.*").where("query IS NOT NULL")
+    flags = F.array_compact(F.array(*[F.when(F.col("query").rlike(p), name) for name, p in FLAGS.items()]))
+    return rows.withColumns({"parameters": F.array_distinct(F.regexp_extract_all("query", F.lit(PARAMETER), F.lit(1))), "flags": flags, "hash": F.sha2("query", 256)})
