@@ -169,7 +169,7 @@ class Model:
 def margins(column: pa.Array, weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
     """Weights times the features of each whole text.
 
-    Features are square roots of counts, so each text's counts are gathered first: the (text, feature) pairs of a run are counted by sorting them.
+    Features are square roots of counts, so each text's counts are gathered first.
     """
     data, offsets = lowered(column)
     n = len(column)

@@ -676,6 +676,33 @@ def test_language(spark, sf_dir):
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) >= 0.97
 
 
+def test_votes_of_fixed_weights():
+    """Family first, then one vote a pair within it; ties by the sum of margins, then the first language."""
+    model = language.Model.__new__(language.Model)
+    model.languages = ["da", "de", "es", "fr", "sv"]
+    model.families = sorted({language.family_of(v) for v in model.languages})
+    model.family_row = {f: i for i, f in enumerate(model.families)}
+    own = {f: [v for v in model.languages if language.family_of(v) == f] for f in model.families}
+    pairs = [(a, b) for f in model.families for i, a in enumerate(own[f]) for b in own[f][i + 1 :]]
+    model.pair_row = {p: len(model.families) + i for i, p in enumerate(pairs)}
+    rng = np.random.default_rng(3)
+    margins = rng.normal(size=(400, len(model.families) + len(pairs)))
+    best, score = model.decide(margins)
+    assert len(model.families) > 1 and len(pairs) > 2
+    for row, b, s in zip(margins, best, score, strict=True):
+        family = model.families[int(np.argmax(row[: len(model.families)]))]
+        votes, sums, least = collections.Counter(), collections.Counter(), [row[model.family_row[family]]]
+        for (x, y), k in model.pair_row.items():
+            if language.family_of(x) == family:
+                votes[x if row[k] >= 0 else y] += 1
+                sums[x] += row[k]
+                sums[y] -= row[k]
+                least.append(abs(row[k]))
+        assert model.languages[b] == max(own[family], key=lambda v: (votes[v], sums[v]))
+        sure = min(least[0], min(least[1:], default=least[0]))
+        assert s == pytest.approx(1 / (1 + np.exp(-3 * sure)))
+
+
 def test_language_cases(spark, sf_dir, none):
     from quarry.sources.tables import table
 

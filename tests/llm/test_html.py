@@ -104,6 +104,61 @@ def test_extract(spark, sf_dir, model):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def article_by_force(page):
+    """The article's blocks by the standard library's parser: text between tags that aren't inline, white space as one space."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.text, self.inside = [], "", False
+
+        def flush(self):
+            if text := " ".join(self.text.split()):
+                self.blocks.append(text)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.text += " "
+            elif tag not in ("b", "i", "a", "em", "strong", "span", "u"):
+                self.flush()
+            self.inside |= tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a", "em", "strong", "span", "u", "br"):
+                self.flush()
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.text += data
+
+    r = Reader()
+    r.feed(page)
+    r.flush()
+    return "\n\n".join(r.blocks)
+
+
+def test_extract_is_an_independent_parsers_text(spark, sf_dir, model):
+    from quarry.sources.tables import table
+
+    pages = table(spark, sf_dir, "pages")
+    got = {r.page_id: r.text for r in html.extract(pages, model).collect()}
+    assert got == {r.page_id: article_by_force(r.html) for r in pages.collect()} and len(got) == 50
+
+
+def test_columns_with_names_of_its_own(spark, model):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "u", "<html><body><article><h1>A title here</h1><p>Some words of a text that is long enough to be one.</p></article></body></html>")], "page_id long, url string, html string")
+    want = html.extract(df, model).first()
+    for c in ("text", "n_chars", "blocks", "label", "leaf", "segment"):
+        df = df.withColumn(c, F.lit("clash"))
+    assert html.extract(df, model).first().text == want.text != ""
+
+
 def test_extract_cases(spark, model):
     page = (
         '<html><body><header class="site-header"><p>Brand name</p></header><div id="cookie-notice">We use cookies</div><div class="post-content"><h1>A title</h1><p>First words of it, and more of them follow here.</p>'

@@ -54,8 +54,27 @@ def test_stages(spark, sf_dir, tmp_path):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
 
 
-def test_run_gives_what_the_stages_give(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+def test_run_gives_what_the_stages_give(spark, sf_dir, tmp_path):
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    pieces = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    *_, clean, last = chain(spark, table(spark, sf_dir, "documents"), sf_dir, tmp_path)
+    rows = sorted(map(tuple, got.select(*pieces).collect()))
+    assert rows == sorted(map(tuple, last.select(*pieces).collect()))
+    # Each document that the stages kept is there whole, and each sequence has no gap and no more than 1024 ids.
+    lengths = collections.Counter()
+    for d, _, _, n, _ in rows:
+        lengths[d] += n
+    assert set(lengths) == {r.doc_id for r in clean.collect()}
+    places = collections.defaultdict(list)
+    for r in got.collect():
+        places[r.sequence_id].append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at <= 1024
 
 
 def test_suffix_stage_sees_passages_of_51_words(spark, sf_dir):
