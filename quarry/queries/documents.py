@@ -605,12 +605,17 @@ def json_explode(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@R.query("json_array_explode", "SELECT user_id, idx, event_type FROM (SELECT user_id, unnest(range(0, len(l))) AS idx, unnest(l) AS event_type FROM (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events WHERE event_type <> 'view' GROUP BY 1))")
+@R.query(
+    "json_array_explode",
+    """WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN [] WHEN event_type = 'view' THEN [event_type, CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')] ELSE [CAST(event_id AS VARCHAR), event_type] END AS l FROM events)
+       SELECT event_id, unnest(range(0, len(l))) AS idx, unnest(l) AS item FROM e""",
+)
 def json_array(spark, sf_dir):
-    """Through JSON text and back, as documents store their arrays."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
-    stored = table(spark, sf_dir, "events").where("event_type <> 'view'").groupBy("user_id").agg(F.to_json(ordered).alias("j"))
-    return stored.select("user_id", F.posexplode(F.from_json("j", "array<string>")).alias("idx", "event_type")).withColumn("idx", F.col("idx").cast("long"))
+    """Arrays in JSON text, as documents store them, one row an element; an array is as long as its own row's."""
+    user, key, kind = F.col("user_id").cast("string"), F.get_json_object("props", "$.k"), F.col("event_type")
+    array = F.when(kind == "error", F.array().cast("array<string>")).when(kind == "view", F.array(kind, user, key)).otherwise(F.array(F.col("event_id").cast("string"), kind))
+    stored = table(spark, sf_dir, "events").select("event_id", F.to_json(array).alias("j"))
+    return stored.select("event_id", F.posexplode(F.from_json("j", "array<string>")).alias("idx", "item")).withColumn("idx", F.col("idx").cast("long"))
 
 
 @R.query("canonical_json_hash", "SELECT event_id, sha256('{\"a\":1,\"k\":' || json_extract_string(props, '$.k') || '}') AS hash FROM events")

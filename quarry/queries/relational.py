@@ -127,15 +127,19 @@ def net_requirement(spark, sf_dir):
 
 @R.query(
     "vendor_order_groups",
-    """SELECT s_name AS vendor, count(*) AS lines, sum(l_quantity) AS quantity, to_json(list({'part': l_partkey, 'quantity': l_quantity} ORDER BY l_partkey, l_quantity, l_orderkey, l_linenumber)) AS details
-       FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND l_quantity >= 49 GROUP BY 1""",
+    """WITH d AS (SELECT s_name AS vendor, l_partkey, l_quantity, row_number() OVER (PARTITION BY s_name ORDER BY l_partkey, l_quantity, l_orderkey, l_linenumber) - 1 AS place FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R' AND l_quantity >= 40),
+            t AS (SELECT vendor, count(*) AS lines, sum(l_quantity) AS quantity FROM d GROUP BY 1)
+       SELECT vendor, CAST(place // 5 AS BIGINT) AS page, any_value(lines) AS lines, any_value(quantity) AS quantity, to_json(list({'part': l_partkey, 'quantity': l_quantity} ORDER BY place)) AS details FROM d JOIN t USING (vendor) GROUP BY 1, 2""",
 )
 def vendor_groups(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49")
-    both = line.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    details = F.sort_array(F.collect_list(F.struct("l_partkey", "l_quantity", "l_orderkey", "l_linenumber")))
-    shown = F.transform(details, lambda d: F.struct(d["l_partkey"].alias("part"), d["l_quantity"].alias("quantity")))
-    return both.groupBy(F.col("s_name").alias("vendor")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.to_json(shown).alias("details"))
+    """Each vendor's order with its details nested, five on a page, so that no row grows with the vendor."""
+    line = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 40")
+    both = line.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_name").alias("vendor"), "l_partkey", "l_quantity", "l_orderkey", "l_linenumber")
+    totals = both.groupBy("vendor").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
+    place = F.row_number().over(Window.partitionBy("vendor").orderBy("l_partkey", "l_quantity", "l_orderkey", "l_linenumber")) - 1
+    paged = both.withColumn("place", place).withColumn("page", F.floor(F.col("place") / 5))
+    shown = F.transform(F.sort_array(F.collect_list(F.struct("place", "l_partkey", "l_quantity"))), lambda d: F.struct(d["l_partkey"].alias("part"), d["l_quantity"].alias("quantity")))
+    return paged.groupBy("vendor", "page").agg(F.to_json(shown).alias("details")).join(totals, "vendor").select("vendor", "page", "lines", "quantity", "details")
 
 
 @R.query(
@@ -554,8 +558,10 @@ def case_rank(spark, sf_dir):
 def hash_split(spark, sf_dir):
     """The 280 of least hash, found by a top-k; the rest needs no global order."""
     docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("h", F.sha2(F.concat(F.lit("split:"), F.col("doc_id").cast("string")), 256))
-    first = docs.orderBy("h", "doc_id").limit(280).select("doc_id", F.lit("calibration").alias("p"))
-    return docs.join(F.broadcast(first), "doc_id", "left").select("doc_id", F.coalesce("p", F.lit("acceptance")).alias("part"))
+    first = docs.orderBy("h", "doc_id").limit(280).groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("n"))
+    both = docs.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))  # rows that repeat an id are taken one by one
+    return both.withColumn("place", place).select("doc_id", F.when(F.col("place") <= F.col("n"), "calibration").otherwise("acceptance").alias("part"))
 
 
 @R.query("priority_sample", "SELECT doc_id FROM ((SELECT doc_id FROM documents WHERE lang = 'de' ORDER BY n_chars DESC, doc_id LIMIT 30) UNION ALL (SELECT doc_id FROM documents WHERE lang <> 'de' ORDER BY n_chars DESC, doc_id LIMIT 70)) ORDER BY doc_id")
