@@ -153,14 +153,14 @@ LONGEST_PART = 8
 
 
 def index_tokens(c: Column) -> Column:
-    """What an index holds of a text: lower-case words of letters and digits, their leading letters-with-digits and numbers, and each part of 2 to 8 characters of Chinese runs, and the runs."""
+    """What an index holds of a text: lower-case words of letters and digits, their leading letters-with-digits and numbers, and each part of 2 to 8 characters of Chinese runs, and the runs; tokens may repeat."""
     low = F.lower(c)
     words = F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), F.lit(1))
     parts = F.regexp_extract_all(low, F.lit(r"([a-z]+[0-9]*|[0-9]+)"), F.lit(1))
     chinese = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FA5}]{2,})"), F.lit(1))
     cut = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array())
     pieces = F.flatten(F.transform(chinese, lambda w: F.concat(F.array(w), *[cut(w, n) for n in range(2, LONGEST_PART + 1)])))
-    return F.array_distinct(F.concat(words, parts, pieces))
+    return F.concat(words, parts, pieces)
 
 
 def bigrams(c: Column) -> Column:
@@ -242,7 +242,8 @@ def quantity(c: Column) -> Column:
 
 
 def without_literals(c: Column) -> Column:
-    """SQL text with comments and literals blanked, of the same length: each other piece is kept, each such piece is as many spaces."""
+    """SQL text with comments and literals blanked, of the same length: runs without a quote, dash or slash are kept as they are, each literal or comment is as many spaces."""
     blank = r"--[^\n]*|/\*(?s:.*?)\*/|'(?:[^']|'')*'"
-    pieces = F.regexp_extract_all(c, F.lit(rf"({blank}|(?s:.))"), F.lit(1))
-    return F.when(c.isNotNull(), F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) > 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), ""))
+    pieces = F.regexp_extract_all(c, F.lit(rf"({blank}|[^'/\-]+|(?s:.))"), F.lit(1))
+    hidden = lambda p: (F.length(p) > 1) & p.rlike(r"^(?:--|/\*|')")
+    return F.when(c.isNotNull(), F.array_join(F.transform(pieces, lambda p: F.when(hidden(p), F.repeat(F.lit(" "), F.length(p))).otherwise(p)), ""))

@@ -19,8 +19,9 @@ features alone; an empty table gives no rows; repeated ids are rows of their own
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from quarry.sources.workspace import exists
 
 BUCKETS, ZONES = 32, 64
+#: Rows that are all scored at once, without bounds.
+FEW = 50_000
 
 
 def _bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(token), F.lit(buckets))
+    return (F.crc32(token.cast("binary")) % buckets).cast("int")
 
 
 class Features:
@@ -59,8 +62,15 @@ class Index:
     features: tuple[str, ...]
     types: str  # of id and features, as column definitions
     buckets: int
+    few: int = FEW
+    opened: dict = field(default_factory=dict, compare=False)
 
     def table(self, name: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = self._read(name)  # its files are listed once
+        return self.opened[name]
+
+    def _read(self, name: str) -> DataFrame:
         schemas = {"rows": f"{self.types}, tokens array<string>, ref long, zone int", "postings": "ref long, zone int, token string, bucket int", "terms": "token string, zone int, n long, bucket int"}
         read = self.spark.read.schema(schemas[name]) if name in schemas else self.spark.read
         return read.parquet(f"{self.path}/{name}")
@@ -68,8 +78,8 @@ class Index:
     def _of(self, name: str, tokens: list[str]) -> DataFrame:
         """Rows of the postings or terms of some tokens; only their buckets are read."""
         wanted = sorted(set(tokens))
-        own = self.spark.createDataFrame([(w,) for w in wanted], "w string").select(_bucket(F.col("w"), self.buckets)).distinct().collect() if wanted else []
-        return self.table(name).where(F.col("bucket").isin([r[0] for r in own]) & F.col("token").isin(wanted))
+        own = sorted({zlib.crc32(w.encode()) % self.buckets for w in wanted})
+        return self.table(name).where(F.col("bucket").isin(own) & F.col("token").isin(wanted))
 
     def hits(self, tokens: list[str], zones: list[int] | None = None) -> DataFrame:
         """ref, zone and how many of the tokens the row has, for rows that have any."""
@@ -101,6 +111,10 @@ class Index:
     def search(self, tokens: list[str], score: Callable[[Features, Column], Column], k: int, order: Callable[[], list[Column]] = lambda: [F.col("id")]) -> DataFrame:
         """The k rows of the greatest scores, ties by `order`: id and score. `score` must not fall when a feature or the share of tokens rises, but by `may_equal` and `nearest`."""
         by = [F.desc("score"), *order()]
+        if "size" not in self.opened:
+            self.opened["size"] = self.table("zones").agg(F.sum("rows")).first()[0] or 0
+        if self.opened["size"] <= self.few:  # bounds would take longer than they save
+            return self.scored(tokens, score).orderBy(*by).limit(k).select("id", "score")
         bounds = self.bounds(tokens, score).orderBy(F.desc("bound"), "zone").collect()  # at most the index's number of zones
         first, held = [], 0
         for b in bounds:
@@ -120,8 +134,12 @@ def build(rows: DataFrame, path: str, id: Column, tokens: Column, features: dict
     if clash := {"id", "ref", "zone", "tokens", "token", "bucket", "n", "hit"} & features.keys():
         raise ValueError(f"a feature can't be called {sorted(clash)[0]!r}")
     index = _index(rows, path, id, features, buckets)
-    base = rows.select(id.alias("id"), F.coalesce(F.array_distinct(tokens), F.array().cast("array<string>")).alias("tokens"), *[c.alias(n) for n, c in features.items()])
-    base = base.repartitionByRange(zones, *cluster, F.xxhash64("id", "tokens")) if cluster else base.repartition(zones)
+    # Rows are dealt first, as sampling for the ranges would split the texts once more.
+    kept = rows.withColumns({f"index_{n}": c for n, c in features.items()} | {"index_id": id})
+    kept = kept.repartitionByRange(zones, *[f"index_{c}" for c in cluster], F.xxhash64("index_id")) if cluster else kept.repartition(zones)
+    split = kept.select(F.col("index_id").alias("id"), F.sort_array(F.coalesce(tokens, F.array().cast("array<string>"))).alias("tokens"), *[F.col(f"index_{n}").alias(n) for n in features])
+    # Sorted, a token that repeats follows itself.
+    base = split.withColumn("tokens", F.filter("tokens", lambda t, i: (i == 0) | (t != F.element_at("tokens", i))))
     base.select("*", F.spark_partition_id().alias("zone"), F.monotonically_increasing_id().alias("ref")).write.partitionBy("zone").mode("overwrite").parquet(f"{path}/rows")
     written = index.table("rows")
     postings = written.select("ref", "zone", F.explode("tokens").alias("token")).withColumn("bucket", _bucket(F.col("token"), buckets))

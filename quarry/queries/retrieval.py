@@ -16,21 +16,27 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 
 def question(spark, text: str) -> list[str]:
-    """The tokens of a question; one row, however large the index."""
-    return spark.range(1).select(tx.index_tokens(F.lit(text)).alias("t")).first().t
+    """The tokens of a question; a constant, so no job runs."""
+    return spark.sql("SELECT :q AS q", args={"q": text}).select(tx.index_tokens(F.col("q")).alias("t")).first().t
 
 
-def _index(df, name: str, id, tokens, features, cluster) -> search.Index:
+_OPEN: dict[tuple, search.Index] = {}
+
+
+def _index(df, name: str, id, tokens, features, cluster, buckets: int = 8, zones: int = 16) -> search.Index:
     """The table's index, built once for as long as its files stay as they are."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/index-{name}-{fingerprint(df, name, 'layout 1')}"
-    return search.opened(df, path, id, tokens, features, cluster)
+    path = f"{folder(spark)}/index-{name}-{fingerprint(df, name, f'layout 1, {buckets} buckets, {zones} zones')}"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _OPEN:
+        _OPEN[key] = search.opened(df, path, id, tokens, features, cluster, buckets, zones)
+    return _OPEN[key]
 
 
 def _documents(spark, sf_dir) -> search.Index:
     n = F.coalesce("n_chars", F.lit(0))
     features = {"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit("")), "metrics": n % 3, "fields": n % 5, "finance": n > 2000, "verified": F.col("doc_id") % 2 == 0}
-    return _index(table(spark, sf_dir, "documents"), "documents", F.col("doc_id"), tx.index_tokens(F.col("text")), features, ["finance", "lang", "source", "metrics"])
+    return _index(table(spark, sf_dir, "documents"), "documents", F.col("doc_id"), tx.index_tokens(F.col("text")), features, ["finance", "lang", "source", "metrics"], search.BUCKETS, search.ZONES)
 
 
 @R.query(

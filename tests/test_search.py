@@ -1,6 +1,7 @@
 """The inverted index against scoring every row, with ties, pruned zones, hot tokens and rows of nothing."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,13 +40,14 @@ def built(spark, tmp_path_factory):
     rows = made(1500)
     df = spark.createDataFrame(rows, SCHEMA)
     features = {"kind": F.col("kind"), "size": F.col("size"), "sure": F.col("sure")}
-    return rows, search.build(df, str(tmp_path_factory.mktemp("index")), F.col("id"), tx.index_tokens(F.col("text")), features, ["kind", "size"], buckets=8, zones=24)
+    return rows, replace(search.build(df, str(tmp_path_factory.mktemp("index")), F.col("id"), tx.index_tokens(F.col("text")), features, ["kind", "size"], buckets=8, zones=24), few=0)
 
 
 @pytest.mark.parametrize("k", [1, 10, 200, 5000])
 @pytest.mark.parametrize("tokens", [["w1", "w2", "w3"], ["hot"], ["nowhere"], [], ["w1", "w1", "hot"]])
 def test_the_result_is_that_of_scoring_every_row(built, tokens, k):
     rows, index = built
+    assert [tuple(r) for r in replace(index, few=10**6).search(tokens, score, k).collect()] == [tuple(r) for r in index.search(tokens, score, k).collect()]
     got = [tuple(r) for r in index.search(tokens, score, k).collect()]
     want = by_force(rows, tokens, k)
     assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1.1e-4)
