@@ -25,7 +25,10 @@ are at most 1 / HOT of either, and are looked up by the tasks themselves, so tha
 no shard is hot. Values are whole numbers, so sums don't depend on their order.
 
 A document is kept if its perplexity is at most the `quantile` of the trusted
-documents held out in its language (of all, where a language has none).
+documents held out in its language (of all, where a language has none). That is
+Spark's `percentile_approx` at an accuracy of 10,000: exact for up to so many
+documents held out; beyond, a rank may be off by one in 10,000, and which value it
+is can depend on the order in which partial results are merged.
 
 Words are runs of letters, digits and characters beyond ASCII, with A-Z
 lower-cased, single characters of East Asian scripts, and runs of other marks.
