@@ -17,6 +17,19 @@ def alias(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), k.ALIAS_DROPPED, "")
 
 
+def field_key(c: Column) -> Column:
+    """A field's name without blanks and colons at its ends, and with an underscore for white space inside; null is empty."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(t, r"\s+", "_"), "[：:]+$", "")
+
+
+def document_field(c: Column) -> Column:
+    """The document's field that a name stands for, by its spelling, then in small letters; other names as `field_key` has them."""
+    known = F.create_map(*[F.lit(x) for kv in k.DOCUMENT_FIELDS.items() for x in kv])
+    key = field_key(c)
+    return F.coalesce(F.try_element_at(known, key), F.try_element_at(known, F.lower(key)), key)
+
+
 def unit_text(c: Column) -> Column:
     """A unit's name in one spelling: superscripts, micro, degree and full-width signs, per-hour forms, without words like `about`."""
     c = F.regexp_replace(F.lower(F.translate(c, k.UNIT_FROM, k.UNIT_TO)), r"\s+", "")

@@ -52,6 +52,18 @@ def unit_alias(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.unit_text(raw).alias("unit"))
 
 
+@R.query(
+    "field_key_routing",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'contract_number' WHEN 1 THEN 'customer_id' WHEN 2 THEN 'delivery_date' WHEN 3 THEN replace(p_name, ' ', '_') WHEN 4 THEN p_brand ELSE '客户_' || p_size END AS field FROM part""",
+)
+def field_key_routing(spark, sf_dir):
+    """Names of fields in several spellings: about the document, or the parts' own."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    shapes = [F.lit(" 合同号： "), F.lit("客户Id:"), F.lit("交货日期"), F.concat(F.lit("\t"), F.replace(name, F.lit(" "), F.lit("  ")), F.lit(" ")), F.concat("p_brand", F.lit("::")), F.concat(F.lit("客户 "), size)]
+    raw = F.element_at(F.array(*shapes), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.document_field(raw).alias("field"))
+
+
 @R.query("qualifier_strip", "SELECT p_partkey, p_brand AS bare, CASE WHEN p_partkey % 2 = 0 THEN 'left' END AS qualifier, CASE WHEN p_partkey % 2 = 0 THEN 0.82e0 END AS confidence FROM (SELECT p_partkey, lower(p_brand) AS p_brand FROM part)")
 def qualifier_strip(spark, sf_dir):
     raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Left "), "p_brand")).otherwise(F.col("p_brand"))

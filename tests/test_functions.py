@@ -129,3 +129,9 @@ def test_interval_join_matches_brute_force(spark):
     left, right = df.select("id", "k", "t"), df.select(F.col("id").alias("id2"), F.col("k"), F.col("t").alias("t2"))
     got = {(r.id, r.id2) for r in op.interval_join(left, right, "k", "t", "t2", 900).select("id", "id2").collect()}
     assert got == {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] <= a[2] + 900}
+
+
+def test_names_of_document_fields(spark):
+    names = [" 合同编号：", "客户ID", "客户iD ", "客户Id", "a  b :", "：", None, "日期", "订单 号", "X:Y"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(tx.document_field(F.col("n"))).collect()] == ["contract_number", "customer_id", "customer_id", "customer_id", "a_b_", "", "", "order_date", "订单_号", "X:Y"]
