@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, mix, plain, prepare, runs, shingles, shuffle_partitions
@@ -55,6 +55,7 @@ RECALL = 0.99999
 SMALL = 64
 TILE = 1024
 SKETCH = 32  # tokens that a sample has on average, at least
+JUDGED = 64  # sets that tell whether a bucket's split pays
 LEVELS = 4  # splits after which a pair's recall is still as wanted
 SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -138,8 +139,24 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield np.unique(value[at[i] : at[i + 1]])
 
 
-def squares(c: str):
-    return F.sum(F.col(c).cast("double") * F.col(c))
+def shares(m: Column) -> Column:
+    """How many shares a bucket of m sets is looked up in, so that no task gets a large bucket whole."""
+    return F.ceil(m / F.lit(TILE)).cast("long")
+
+
+def paying(large: DataFrame, judged: int = JUDGED) -> DataFrame:
+    """path, share and pays (true) of each share of the buckets whose split pays: the squares of the parts are well under the square of the whole.
+
+    About `judged` sets of a bucket, by hash, stand for all; a bucket of no more is judged by all of its sets. What
+    doesn't pay stays whole, so this settles the work to be done and never what is found.
+    """
+    some = large.where(F.pmod(F.xxhash64("sig", F.lit("judged")), F.col("m")) < judged).select("path", "m", F.posexplode_outer("ahead").alias("at", "next"))
+    part = some.groupBy("path", "next").agg(F.count("next").cast("double").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("sets"), F.first("m").cast("double").alias("m"))
+    sums = part.groupBy("path").agg(F.first("m").alias("m"), F.sum("sets").alias("s"), F.sum("n").alias("tokens"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    m, s = F.col("m"), F.col("s")
+    squares = F.col("pairs") * m * (m - 1) / F.greatest(s * (s - 1), F.lit(1)) + F.col("tokens") * m / s
+    pays = sums.where((s > 1) & (squares < 0.5 * m * m))
+    return cut(pays.select("path", F.explode(F.sequence(F.lit(0).cast("long"), shares(m) - 1)).alias("share"), F.lit(True).alias("pays")))
 
 
 def paths(kinds: DataFrame, small: int, plan: Plan) -> DataFrame:
@@ -156,23 +173,16 @@ def paths(kinds: DataFrame, small: int, plan: Plan) -> DataFrame:
         depth = F.size("path") - 1
         sampled = F.when(depth == 0, F.col("tokens")).otherwise(F.filter("tokens", lambda t: t > F.element_at("path", -1)))
         ended = (depth > 0) & (plan.similarity * F.col("size") <= depth)
-        large = cut(large.join(kinds.select("sig", "size", "tokens"), "sig").select("sig", "path", "m", ended.alias("ended"), F.slice(sampled, 1, plan.follow).alias("ahead")))
-        # Copies of one another share the first tokens: that is told by these alone, and such buckets go no further.
-        whole = F.first("m").cast("double")
-        alike = [large.groupBy("path", F.get("ahead", F.lit(i)).alias("next")).agg(F.count("*").alias("n"), F.first("m").alias("m")).where("next IS NOT NULL") for i in (0, 1)]
-        alike = alike[0].unionByName(alike[1]).groupBy("path").agg(squares("n").alias("parts"), (whole * whole).alias("whole")).where(F.col("parts") >= 0.5 * F.col("whole"))
-        parts = large.join(alike.select("path"), "path", "left_anti").select("path", "m", F.explode("ahead").alias("next")).groupBy("path", "next").agg(F.count("*").alias("n"), F.first("m").alias("m"))
-        parts = cut(parts.withColumn("m", F.col("m").cast("double")))
-        # Splitting a bucket pays if the squares of its parts are well under the square of the whole.
-        work = parts.groupBy("path").agg(squares("n").alias("parts"), (F.first("m") * F.first("m")).alias("whole"))
-        pays = cut(work.where(F.col("parts") < 0.5 * F.col("whole")).select("path"))
-        split = large.join(pays, "path", "left_semi")
-        whole_ones = large.join(pays, "path", "left_anti").withColumn("ended", F.lit(False)).select(*here)
+        share = F.pmod(F.xxhash64("sig"), shares(F.col("m")))
+        large = cut(large.join(kinds.select("sig", "size", "tokens"), "sig").select("sig", "path", "m", share.alias("share"), ended.alias("ended"), F.slice(sampled, 1, plan.follow).alias("ahead")))
+        judged = large.join(paying(large), ["path", "share"], "left").drop("share")
+        split, whole_ones = judged.where("pays"), judged.where("pays IS NULL").withColumn("ended", F.lit(False)).select(*here)
         over = split.where("ended")
         several = over.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         ends = over.join(several, "path").select("path", "ended", F.col("n").alias("m"), "sig")
-        level = split.select("sig", "path", F.explode("ahead").alias("next")).join(parts.where("n > 1").select("path", "next", "n"), ["path", "next"])
-        level = cut(level.select(F.concat("path", F.array("next")).alias("path"), F.col("n").alias("m"), "sig"))
+        level = cut(split.select("sig", "path", F.explode("ahead").alias("next")))
+        parts = level.groupBy("path", "next").agg(F.count("*").alias("n")).where("n > 1")
+        level = cut(level.join(parts, ["path", "next"]).select(F.concat("path", F.array("next")).alias("path"), F.col("n").alias("m"), "sig"))
         found = cut(found.unionByName(whole_ones).unionByName(ends).unionByName(level.where(F.col("m") <= small).withColumn("ended", F.lit(False)).select(*here)))
     # Of the tokens chosen, only those up to the path's own matter.
     return found.join(kinds.select("sig", "size", "opens", "tokens", "copies"), "sig").withColumn("opens", F.filter("opens", lambda o: o <= F.element_at("path", 1)))

@@ -136,6 +136,43 @@ def test_splits_of_any_depth_lose_nothing(spark):
     assert got == classes_by_force(texts)
 
 
+def rows_made(spark, run):
+    """Rows out of all Generate nodes of what `run` executes."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in range(before, store.executionsCount()):
+        execution = store.executionsList().apply(i).executionId()
+        nodes, values = store.planGraph(execution).allNodes(), store.executionMetrics(execution)
+        for metrics in (nodes.apply(j).metrics() for j in range(nodes.size()) if "Generate" in nodes.apply(j).name()):
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_a_bucket_that_stays_whole_costs_a_fixed_number_of_rows(spark):
+    """Each set shares eight tokens with all others, and its two least ones with none: only tokens further on tell that a split doesn't pay."""
+    plan, made, n = nearjoin.Plan(0.8, 0.99999), [], (500, 2000)
+    for m in n:
+        kinds = spark.createDataFrame(
+            [(b"%d" % i, 64, [1], [2 * i, 2 * i + 1, *range(10**6, 10**6 + 8)], 1) for i in range(m)], "sig binary, size int, opens array<long>, tokens array<long>, copies long"
+        ).localCheckpoint()
+        found = []
+        made.append(rows_made(spark, lambda: found.append(nearjoin.paths(kinds, 64, plan))) - 2 * m)  # less those of the tokens chosen
+        assert found[0].select("path", "ended", "m").distinct().collect() == [([1], False, m)] and found[0].count() == m
+    assert 0 < max(made) < 2 * 64 * plan.follow
+
+
+def test_a_large_bucket_is_judged_by_some_of_its_sets_and_split_whole(spark):
+    """3,000 sets that share one chosen token, in groups of ten that share all sampled ones: every set is in the part of each of its tokens."""
+    kinds = spark.createDataFrame([(b"%d" % i, 64, [1], [10 * (i // 10) + j for j in range(10)], 1) for i in range(3000)], "sig binary, size int, opens array<long>, tokens array<long>, copies long")
+    got = nearjoin.paths(kinds, 64, nearjoin.Plan(0.8, 0.99999)).select("sig", "path", "m").collect()
+    assert {(r.sig, r.path[1]) for r in got} == {(b"%d" % i, 10 * (i // 10) + j) for i in range(3000) for j in range(10)}
+    assert {r.m for r in got} == {10} and {tuple(r.path[:1]) for r in got} == {(1,)} and len(got) == 30_000
+
+
 # Suffix-array dedup
 
 
