@@ -169,7 +169,8 @@ def index_tokens(c: Column) -> Column:
     """What an index holds of a text: lower-case words of letters and digits, their leading letters-with-digits and numbers, and each part of 2 to 8 characters of Chinese runs, and the runs; tokens may repeat."""
     low = F.lower(c)
     words = F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), F.lit(1))
-    parts = F.regexp_extract_all(low, F.lit(r"([a-z]+[0-9]*|[0-9]+)"), F.lit(1))
+    # A word is its own only part, unless a letter follows a digit.
+    parts = F.when(low.rlike("[0-9][a-z]"), F.regexp_extract_all(low, F.lit(r"([a-z]+[0-9]*|[0-9]+)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     chinese = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FA5}]{2,})"), F.lit(1))
     cut = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array())
     pieces = F.flatten(F.transform(chinese, lambda w: F.concat(F.array(w), *[cut(w, n) for n in range(2, LONGEST_PART + 1)])))

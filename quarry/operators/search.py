@@ -2,8 +2,9 @@
 
 An index has four tables. `rows` holds each row's id, tokens and features, in
 zones of rows with like features. `postings` has a row for each token of each
-row, by buckets of tokens and sorted within, so that a question reads the buckets
-and row groups of its own tokens. `terms` counts each token's rows by zone, and
+row, by buckets of tokens and, within each file, by a hash of the token, so that a
+question reads the buckets and pages of its own tokens; each task writes those of
+the rows that it reads, so that none are sent elsewhere. `terms` counts each token's rows by zone, and
 `zones` has the least and greatest of each feature.
 
 A question first bounds the score of each zone from `zones` and `terms` (at most
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from quarry.sources.workspace import exists
 
 BUCKETS, ZONES = 32, 64
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Rows that are all scored at once, without bounds.
 FEW = 50_000
 
@@ -71,7 +73,7 @@ class Index:
         return self.opened[name]
 
     def _read(self, name: str) -> DataFrame:
-        schemas = {"rows": f"{self.types}, tokens array<string>, ref long, zone int", "postings": "ref long, zone int, token string, bucket int", "terms": "token string, zone int, n long, bucket int"}
+        schemas = {"rows": f"{self.types}, tokens array<string>, ref long, zone int", "postings": "ref long, zone int, token string, key long, bucket int", "terms": "token string, zone int, n long, bucket int"}
         read = self.spark.read.schema(schemas[name]) if name in schemas else self.spark.read
         return read.parquet(f"{self.path}/{name}")
 
@@ -79,7 +81,8 @@ class Index:
         """Rows of the postings or terms of some tokens; only their buckets are read."""
         wanted = sorted(set(tokens))
         own = sorted({zlib.crc32(w.encode()) % self.buckets for w in wanted})
-        return self.table(name).where(F.col("bucket").isin(own) & F.col("token").isin(wanted))
+        found = self.table(name).where(F.col("bucket").isin(own) & F.col("token").isin(wanted))
+        return found.where(F.col("key").isin([F.xxhash64(F.lit(w)) for w in wanted])) if name == "postings" else found
 
     def hits(self, tokens: list[str], zones: list[int] | None = None) -> DataFrame:
         """ref, zone and how many of the tokens the row has, for rows that have any."""
@@ -131,21 +134,24 @@ class Index:
 
 def build(rows: DataFrame, path: str, id: Column, tokens: Column, features: dict[str, Column], cluster: list[str], buckets: int = BUCKETS, zones: int = ZONES) -> Index:
     """Writes an index of the rows; `cluster` names the features by which rows are put in zones. The list of zones is written last, and marks the index as whole."""
-    if clash := {"id", "ref", "zone", "tokens", "token", "bucket", "n", "hit"} & features.keys():
+    if clash := {"id", "ref", "zone", "tokens", "token", "key", "bucket", "n", "hit"} & features.keys():
         raise ValueError(f"a feature can't be called {sorted(clash)[0]!r}")
-    index = _index(rows, path, id, features, buckets)
+    spark, index = rows.sparkSession, _index(rows, path, id, features, buckets)
     # Rows are dealt first, as sampling for the ranges would split the texts once more.
     kept = rows.withColumns({f"index_{n}": c for n, c in features.items()} | {"index_id": id})
     kept = kept.repartitionByRange(zones, *[f"index_{c}" for c in cluster], F.xxhash64("index_id")) if cluster else kept.repartition(zones)
-    split = kept.select(F.col("index_id").alias("id"), F.sort_array(F.coalesce(tokens, F.array().cast("array<string>"))).alias("tokens"), *[F.col(f"index_{n}").alias(n) for n in features])
-    # Sorted, a token that repeats follows itself.
-    base = split.withColumn("tokens", F.filter("tokens", lambda t, i: (i == 0) | (t != F.element_at("tokens", i))))
+    base = kept.select(F.col("index_id").alias("id"), F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))).alias("tokens"), *[F.col(f"index_{n}").alias(n) for n in features])
     base.select("*", F.spark_partition_id().alias("zone"), F.monotonically_increasing_id().alias("ref")).write.partitionBy("zone").mode("overwrite").parquet(f"{path}/rows")
     written = index.table("rows")
-    postings = written.select("ref", "zone", F.explode("tokens").alias("token")).withColumn("bucket", _bucket(F.col("token"), buckets))
-    # A frequent token's rows are dealt to several ranges.
-    postings = postings.repartitionByRange("bucket", "token", "ref").sortWithinPartitions("bucket", "token", "zone")
-    postings.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    token = F.col("token")
+    postings = written.select("ref", "zone", F.explode("tokens").alias("token")).withColumns({"key": F.xxhash64(token), "bucket": _bucket(token, buckets)})
+    # A sort by one number needs no comparison of rows; with a writer for each bucket open, its order holds within each file.
+    was = spark.conf.get(WRITERS, "0")
+    spark.conf.set(WRITERS, str(buckets))
+    try:
+        postings.sortWithinPartitions("key").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    finally:
+        spark.conf.set(WRITERS, was)
     terms = index.table("postings").groupBy("bucket", "token", "zone").agg(F.count("*").alias("n"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
     ends = [f(c).alias(f"{p}_{c}") for c in features for f, p in ((F.min, "low"), (F.max, "high"))]

@@ -26,7 +26,7 @@ _OPEN: dict[tuple, search.Index] = {}
 def _index(df, name: str, id, tokens, features, cluster, buckets: int = 8, zones: int = 16) -> search.Index:
     """The table's index, built once for as long as its files stay as they are."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/index-{name}-{fingerprint(df, name, f'layout 2, {buckets} buckets, {zones} zones')}"
+    path = f"{folder(spark)}/index-{name}-{fingerprint(df, name, f'layout 3, {buckets} buckets, {zones} zones')}"
     key = (spark.sparkContext.applicationId, path)
     if key not in _OPEN:
         _OPEN[key] = search.opened(df, path, id, tokens, features, cluster, buckets, zones)

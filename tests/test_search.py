@@ -76,6 +76,26 @@ def test_an_index_is_built_once(spark, tmp_path):
     assert search.coverage(again, 4).collect()[0].asDict() == {"indexed": 1, "coverage": 0.25, "missing": 3, "without_tokens": 0, "postings": 2, "vocabulary": 2}
 
 
+def test_postings_are_written_where_their_rows_are_read(spark, tmp_path):
+    """No posting is sent to another task or sampled, and each file is in the order of its tokens' hashes."""
+    df = spark.createDataFrame(made(3000), SCHEMA)
+    store, writers = spark._jsparkSession.sharedState().statusStore(), spark.conf.get(search.WRITERS, "0")
+    before = store.executionsCount()
+    index = search.build(df, str(tmp_path / "i"), F.col("id"), tx.index_tokens(F.col("text")), {"kind": F.col("kind")}, ["kind"], buckets=4, zones=6)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    own = [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p and f"{tmp_path}/i/postings," in p.split("InsertIntoHadoopFsRelationCommand")[-1]]
+    assert len(own) == 1 and "Exchange" not in own[0] and spark.conf.get(search.WRITERS, "0") == writers
+    files = index.table("postings").withColumn("file", F.input_file_name()).groupBy("file").agg(F.collect_list("key").alias("keys"), F.count_distinct("bucket").alias("n")).collect()
+    assert len(files) >= 4 and all(f.n == 1 and f.keys == sorted(f.keys) for f in files)
+    assert index.table("postings").count() == sum(len(set((r[1] or "").split())) for r in made(3000))
+
+
+def test_words_are_split_where_a_letter_follows_a_digit(spark):
+    df = spark.createDataFrame([("A1b2 12kg x9",), ("plain 12 w3",), (None,)], "t string")
+    assert [set(r[0] or []) for r in df.select(tx.index_tokens(F.col("t"))).collect()] == [{"a1b2", "a1", "b2", "12kg", "12", "kg", "x9"}, {"plain", "12", "w3"}, set()]
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     index = search.build(spark.createDataFrame([], SCHEMA), str(tmp_path / "i"), F.col("id"), tx.index_tokens(F.col("text")), {"kind": F.col("kind")}, ["kind"])
     assert index.search(["a"], lambda f, ratio: ratio, 5).count() == 0
